@@ -294,7 +294,9 @@ def _ts_corr(w: Windows, x: Column, y: Column, n: int) -> Column:
     moving = (F.min(u).over(r) < F.max(u).over(r)) & (F.min(v).over(r) < F.max(v).over(r))
     # the built-in corr raises on constant windows in ANSI mode, hence covariance over deviations
     spread = F.stddev_pop(u).over(r) * F.stddev_pop(v).over(r)
-    return F.when(moving, F.try_divide(F.covar_pop(u, v).over(r), spread))
+    # 8 decimals, so that the exact +-1 of very short windows stay ties for later ranks
+    value = F.try_divide(F.covar_pop(u, v).over(r), spread)
+    return F.when(moving, F.floor(value * 1e8 + 0.5) / F.lit(1e8))
 
 
 ts_corr = register("ts_corr", SYMBOL, 2, _ts_corr, _rolling)

@@ -49,7 +49,7 @@ _BIG = [(1e9, 1e2), (1e12, 1e5)]
 
 
 def tidy(x: Column) -> Column:
-    """About six significant digits: float sums differ in the last bits between engines."""
+    """About six significant digits (above 1e12: of the logarithm), as float sums differ in the last bits."""
     x = x.cast("double")
     out = None
     for limit, scale in _STEPS:
@@ -57,7 +57,9 @@ def tidy(x: Column) -> Column:
         out = F.when(F.abs(x) < limit, value) if out is None else out.when(F.abs(x) < limit, value)
     for limit, scale in _BIG:
         out = out.when(F.abs(x) < limit, F.floor(x / scale + OFFSET) * F.lit(scale))
-    return out.when(F.abs(x) >= 1e12, F.floor(x / 1e9 + OFFSET) * F.lit(1e9)).cast("double")
+    size = F.floor(F.log10(F.abs(x)) * 1e5 + OFFSET) / F.lit(1e5)
+    huge = F.when(F.abs(x) == float("inf"), x).otherwise(F.signum(x) * F.lit(1e12) * size)
+    return out.when(F.abs(x) >= 1e12, huge).cast("double")
 
 
 def tidy_sql(x: str, name: str | None = None) -> str:
@@ -65,7 +67,8 @@ def tidy_sql(x: str, name: str | None = None) -> str:
              for limit, scale in _STEPS]
     parts += [f"WHEN abs({x}) < {limit!r} THEN floor({x} / {scale!r}::DOUBLE + {OFFSET}::DOUBLE) * {scale!r}::DOUBLE"
               for limit, scale in _BIG]
-    parts.append(f"WHEN abs({x}) >= 1e12 THEN floor({x} / 1e9::DOUBLE + {OFFSET}::DOUBLE) * 1e9::DOUBLE")
+    parts.append(f"WHEN abs({x}) = 'inf'::DOUBLE THEN {x} WHEN abs({x}) >= 1e12 THEN sign({x}) * 1e12::DOUBLE * "
+                 f"(floor(log10(abs({x})) * 1e5::DOUBLE + {OFFSET}::DOUBLE) / 1e5::DOUBLE)")
     return f"(CASE {' '.join(parts)} END)::DOUBLE AS {name or x}"
 
 

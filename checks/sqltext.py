@@ -69,8 +69,8 @@ def _corr(x: str, y: str, n: int) -> str:
     ok = f"({x} IS NOT NULL AND {y} IS NOT NULL)"
     u, v = f"(CASE WHEN {ok} THEN {x} END)::DOUBLE", f"(CASE WHEN {ok} THEN {y} END)::DOUBLE"
     moving = " AND ".join(f"min({a}) OVER {_w(n)} < max({a}) OVER {_w(n)}" for a in (u, v))
-    return (f"CASE WHEN {moving} THEN covar_pop({u}, {v}) OVER {_w(n)} / "
-            f"nullif(stddev_pop({u}) OVER {_w(n)} * stddev_pop({v}) OVER {_w(n)}, 0) END")
+    return (f"CASE WHEN {moving} THEN floor(covar_pop({u}, {v}) OVER {_w(n)} / nullif(stddev_pop({u}) OVER "
+            f"{_w(n)} * stddev_pop({v}) OVER {_w(n)}, 0) * 1e8::DOUBLE + 0.5::DOUBLE) / 1e8::DOUBLE END")
 
 
 def _decay(x: str, n: int, newest_first: bool = False) -> str:
