@@ -224,11 +224,9 @@ def steady(x: Column) -> Column:
     return scaled - (scaled - x)
 
 
-def _full(w: Windows, x: Column, n: int, value: Column) -> Column:
-    return F.when(F.count(x).over(w.roll(n)) == n, value)
-
-
 # --- per-instrument operators ------------------------------------------------------------
+# Window primitives come first; the full-window operators are compositions of them, so that
+# sample counts, means and deviations of one series are computed once however often they occur.
 
 ts_delay = register("ts_delay", SYMBOL, 1, lambda w, x, n: F.lag(x, n).over(w.seq),
                     lambda n: (max(n, 0), max(-n, 0)))
@@ -238,21 +236,43 @@ ts_mean = register("ts_mean", SYMBOL, 1, lambda w, x, n: F.avg(x).over(w.roll(n)
 ts_std = register("ts_std", SYMBOL, 1, lambda w, x, n: F.stddev_pop(x).over(w.roll(n)), _rolling)
 ts_count = register("ts_count", SYMBOL, 1,
                     lambda w, x, n: F.count(x).over(w.roll(n)).cast("double"), _rolling)
-ts_sum = register("ts_sum", SYMBOL, 1,
-                  lambda w, x, n: _full(w, x, n, F.sum(x).over(w.roll(n))), _rolling)
-ts_product = register("ts_product", SYMBOL, 1,
-                      lambda w, x, n: _full(w, x, n, F.product(x).over(w.roll(n))), _rolling)
-
-
-def _arg_extreme(w: Windows, x: Column, n: int, newest: bool, pick: Callable, toward: int) -> Column:
-    best = pick(w.i, F.struct(steady(x), w.i * toward)).over(w.roll(n))
-    return _full(w, x, n, (best - (w.i - n)).cast("double"))
-
-
-ts_argmax = register("ts_argmax", SYMBOL, 1,
-                     lambda w, x, n: _arg_extreme(w, x, n, False, F.max_by, -1), _rolling, True)
-ts_argmin = register("ts_argmin", SYMBOL, 1,
-                     lambda w, x, n: _arg_extreme(w, x, n, False, F.min_by, 1), _rolling, True)
+win_sum = register("win_sum", SYMBOL, 1, lambda w, x, n: F.sum(x).over(w.roll(n)), _rolling)
+win_product = register("win_product", SYMBOL, 1,
+                       lambda w, x, n: F.product(x).over(w.roll(n)), _rolling)
+win_cov = register("win_cov", SYMBOL, 2, lambda w, x, y, n: F.covar_pop(x, y).over(w.roll(n)), _rolling)
+win_slope = register("win_slope", SYMBOL, 1,
+                     lambda w, x, n: F.regr_slope(x, w.i).over(w.roll(n)), _rolling, True)
+win_r2 = register("win_r2", SYMBOL, 1,
+                  lambda w, x, n: F.regr_r2(x, w.i).over(w.roll(n)), _rolling, True)
+win_quantile = register("win_quantile", SYMBOL, 1,
+                        lambda w, x, n, q: F.percentile(x, F.lit(q)).over(w.roll(n)),
+                        lambda n, q: (n - 1, 0))
+# row number of the extreme; ties go to the oldest row
+win_argmax = register("win_argmax", SYMBOL, 1, lambda w, x, n: F.max_by(
+    w.i, F.struct(steady(x), -w.i)).over(w.roll(n)), _rolling, True)
+win_argmin = register("win_argmin", SYMBOL, 1, lambda w, x, n: F.min_by(
+    w.i, F.struct(steady(x), w.i)).over(w.roll(n)), _rolling, True)
+ordinal = register("ordinal", ROW, 0, lambda w: w.i, ordinal=True)
+
+
+def _when_full(x: Factor, n: int, value: Factor) -> Factor:
+    return where(ts_count(x, n) == float(n), value, None)
+
+
+ts_sum = register("ts_sum", MACRO, 1, lambda x, n: _when_full(x, n, win_sum(x, n)), _rolling)
+ts_product = register("ts_product", MACRO, 1,
+                      lambda x, n: _when_full(x, n, win_product(x, n)), _rolling)
+ts_argmax = register("ts_argmax", MACRO, 1, lambda x, n: _when_full(
+    x, n, win_argmax(x, n) - (ordinal() - float(n))), _rolling)
+ts_argmin = register("ts_argmin", MACRO, 1, lambda x, n: _when_full(
+    x, n, win_argmin(x, n) - (ordinal() - float(n))), _rolling)
+ts_slope = register("ts_slope", MACRO, 1, lambda x, n: _when_full(x, n, win_slope(x, n)), _rolling)
+ts_rsquare = register("ts_rsquare", MACRO, 1, lambda x, n: _when_full(
+    x, n, where(ts_min(x, n) < ts_max(x, n), win_r2(x, n), None)), _rolling)
+ts_resi = register("ts_resi", MACRO, 1, lambda x, n: _when_full(
+    x, n, x - ts_mean(x, n) - win_slope(x, n) * ((n - 1) / 2.0)), _rolling)
+ts_quantile = register("ts_quantile", MACRO, 1,
+                       lambda x, n, q: _when_full(x, n, win_quantile(x, n, q)))
 
 
 def _ts_rank(w: Windows, x: Column, n: int) -> Column:
@@ -266,52 +286,29 @@ def _ts_rank(w: Windows, x: Column, n: int) -> Column:
 
 
 ts_rank = register("ts_rank", SYMBOL, 1, _ts_rank, _rolling)
-ts_quantile = register(
-    "ts_quantile", SYMBOL, 1,
-    lambda w, x, n, q: _full(w, x, n, F.percentile(x, F.lit(q)).over(w.roll(n))),
-    lambda n, q: (n - 1, 0))
-ts_slope = register("ts_slope", SYMBOL, 1,
-                    lambda w, x, n: _full(w, x, n, F.regr_slope(x, w.i).over(w.roll(n))),
-                    _rolling, True)
-ts_rsquare = register(
-    "ts_rsquare", SYMBOL, 1,
-    lambda w, x, n: F.when(
-        (F.count(x).over(w.roll(n)) == n) & (F.min(x).over(w.roll(n)) < F.max(x).over(w.roll(n))),
-        F.regr_r2(x, w.i).over(w.roll(n))),
-    _rolling, True)
-ts_resi = register(
-    "ts_resi", SYMBOL, 1,
-    lambda w, x, n: _full(
-        w, x, n,
-        x - F.avg(x).over(w.roll(n)) - F.regr_slope(x, w.i).over(w.roll(n)) * ((n - 1) / 2.0)),
-    _rolling, True)
-
-
-def _ts_corr(w: Windows, x: Column, y: Column, n: int) -> Column:
-    both = x.isNotNull() & y.isNotNull()
-    u, v = F.when(both, x), F.when(both, y)
-    r = w.roll(n)
-    moving = (F.min(u).over(r) < F.max(u).over(r)) & (F.min(v).over(r) < F.max(v).over(r))
-    # the built-in corr raises on constant windows in ANSI mode, hence covariance over deviations
-    spread = F.stddev_pop(u).over(r) * F.stddev_pop(v).over(r)
+
+
+def _ts_corr(x: Factor, y: Factor, n: int) -> Factor:
+    paired = both(not_null(x), not_null(y))
+    u, v = where(paired, x, None), where(paired, y, None)
+    # the built-in corr raises on constant windows in ANSI mode, hence covariance over deviations;
     # 8 decimals, so that the exact +-1 of very short windows stay ties for later ranks
-    value = F.try_divide(F.covar_pop(u, v).over(r), spread)
-    return F.when(moving, F.floor(value * 1e8 + 0.5) / F.lit(1e8))
+    value = win_cov(u, v, n) / (ts_std(u, n) * ts_std(v, n))
+    return floor(value * 1e8 + 0.5) / 1e8
 
 
-ts_corr = register("ts_corr", SYMBOL, 2, _ts_corr, _rolling)
+ts_corr = register("ts_corr", MACRO, 2, _ts_corr)
 
 
-def _ts_decay(w: Windows, x: Column, n: int, newest_first: bool = False) -> Column:
-    r = w.roll(n)
+def _ts_decay(x: Factor, n: int, newest_first: bool = False) -> Factor:
     # age runs from 0 on the newest row to n-1 on the oldest one
-    aged = (w.i + 1) * F.sum(x).over(r) - F.sum(x * w.i).over(r)
-    weighted = (n + 1) * F.sum(x).over(r) - aged if newest_first else aged
-    return _full(w, x, n, weighted / (n * (n + 1) / 2.0))
+    plain = win_sum(x, n)
+    aged = (ordinal() + 1.0) * plain - win_sum(x * ordinal(), n)
+    weighted = float(n + 1) * plain - aged if newest_first else aged
+    return _when_full(x, n, weighted / (n * (n + 1) / 2.0))
 
 
-ts_decay_linear = register("ts_decay_linear", SYMBOL, 1, _ts_decay,
-                           lambda n, newest_first=False: (n - 1, 0), True)
+ts_decay_linear = register("ts_decay_linear", MACRO, 1, _ts_decay)
 ts_shift_max = register("ts_shift_max", SYMBOL, 1,
                         lambda w, x, n: F.when(F.count(x).over(w.roll(n, 1)) == n,
                                                F.max(x).over(w.roll(n, 1))),
@@ -320,15 +317,17 @@ ts_shift_min = register("ts_shift_min", SYMBOL, 1,
                         lambda w, x, n: F.when(F.count(x).over(w.roll(n, 1)) == n,
                                                F.min(x).over(w.roll(n, 1))),
                         lambda n: (n, 0))
-ts_absdev = register(
-    "ts_absdev", SYMBOL, 2,
-    lambda w, x, centre, n: _full(w, x, n, F.aggregate(
-        F.collect_list(x).over(w.roll(n)), F.lit(0.0), lambda acc, v: acc + F.abs(v - centre)) / n),
-    _rolling)
-ts_roll = register(
-    "ts_roll", SYMBOL, 1,
-    lambda w, x, n, fn: _full(w, x, n, fn(F.collect_list(x).over(w.roll(n)))),
-    lambda n, fn: (n - 1, 0))
+
+
+def _on_list(w: Windows, x: Column, n: int, fn: Callable[[Column], Column]) -> Column:
+    values = F.collect_list(x).over(w.roll(n))
+    return F.when(F.size(values) == n, fn(values))
+
+
+ts_absdev = register("ts_absdev", SYMBOL, 2, lambda w, x, centre, n: _on_list(
+    w, x, n, lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.abs(v - centre)) / n), _rolling)
+# any function of the list of the last n values, oldest first
+ts_roll = register("ts_roll", SYMBOL, 1, _on_list, lambda n, fn: (n - 1, 0))
 run_sum = register("run_sum", SYMBOL, 1, lambda w, x: F.sum(x).over(w.past), _unbounded)
 run_max = register("run_max", SYMBOL, 1, lambda w, x: F.max(x).over(w.past), _unbounded)
 run_product = register("run_product", SYMBOL, 1, lambda w, x: F.product(x).over(w.past), _unbounded)
@@ -407,6 +406,7 @@ sign = register("sign", ROW, 1, lambda w, x: F.when(x > 0, 1).when(x < 0, -1).ot
 quesval = register("quesval", ROW, 4, lambda w, t, x, a, b: F.when(t < x, a).otherwise(b))
 quesval2 = quesval
 where = register("where", ROW, 3, lambda w, c, a, b: F.when(c == 1, a).otherwise(b))
+not_null = register("not_null", ROW, 1, lambda w, x: x.isNotNull().cast("int"))
 both = register("both", ROW, 2, lambda w, a, b: ((a == 1) & (b == 1)).cast("int"))
 coalesce = register("coalesce", ROW, -1, lambda w, *c: F.coalesce(*c))
 floor = register("floor", ROW, 1, lambda w, x: F.floor(x).cast("double"))

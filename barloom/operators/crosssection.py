@@ -46,6 +46,29 @@ def exact_rank(df: DataFrame, value: str, by: list[str], rows_per_range: int, wi
         (F.col("below") + F.sum("n").over(inside) - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))
 
 
+def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str) -> DataFrame:
+    """Add average-tie ranks of many columns with one sort instead of one sort per column.
+
+    The inputs are laid out as rows (date, column number, value), ranked together and folded
+    back; the other columns travel with the first of these rows, so nothing is joined.
+    """
+    values = F.array(*(steady(x).cast("double") for x in inputs.values()))
+    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"),
+                      F.struct(*df.columns).alias("_row"), F.posexplode(values).alias("_k", "_x"))
+    cells = cells.withColumn("_row", F.when(F.col("_k") == 0, F.col("_row")))
+    spec = Window.partitionBy("_t", "_k").orderBy("_x")
+    same = spec.rangeBetween(Window.currentRow, Window.currentRow)
+    missing = F.count(F.when(F.col("_x").isNull(), 1)).over(
+        spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.rank().over(spec) - missing + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
+    cells = cells.withColumn("_r", F.when(F.col("_x").isNotNull(), rank))
+    folded = cells.groupBy("_t", "_s").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
+    return folded.select("_row.*", *(
+        F.col("_ranks")[k]["_r"].alias(name) for k, name in enumerate(inputs)))
+
+
 def wide_terms(
     df: DataFrame, todo: dict[str, tuple[str, list[Column]]], symbol: str, time: str, rows_per_range: int
 ) -> DataFrame:

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions import algebra as A
+
 from barloom.functions.algebra import DATE, OPERATORS, ORDINAL, ROW, SYMBOL, Factor, Windows
+from barloom.operators.crosssection import many_ranks, wide_terms
 
 # Above this many rows of one instrument its history is cut into overlapping pieces, above this
 # many rows of one date per-date terms avoid single-partition windows.
 LONG_HISTORY = 2_000_000
 WIDE_DATE = 2_000_000
+# A phase with this many windows is bound by CPU, not bytes: its exchange is requested with the
+# session's partition count, because adaptive coalescing would size it by bytes alone.
+HEAVY_PHASE = 8
+# From this many ranks in one layer on, they are computed together with one sort.
+MANY_RANKS = 4
 
 
 def measure(df: DataFrame, symbol: str, date: str) -> tuple[int, int]:
@@ -203,6 +210,13 @@ def evaluate(
     reach = layers.reach() if SYMBOL in kinds else None
     cut = SYMBOL in kinds and sizes[0] > long_history and reach is not None
     wide = DATE in kinds and sizes[1] > wide_date
+    keys = sorted(layers.groups)
+    heavy: dict[int, int] = defaultdict(int)
+    for key in keys:
+        heavy[key[0]] += sum(_kind(n) != ROW for n in layers.groups[key])
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if heavy[0] >= HEAVY_PHASE and not cut:
+        frame = frame.repartition(slots, symbol)
     if (layers.needs_ordinal and ORDINAL not in frame.columns) or cut:
         frame = add_ordinal(frame, symbol, time, sizes[0] > long_history)
     always = list(dict.fromkeys([symbol, time, *keep]))
@@ -211,7 +225,6 @@ def evaluate(
     symbol_keys = [symbol, "_piece"] if cut else [symbol]
     w = Windows(symbol_keys, [time], time)
 
-    keys = sorted(layers.groups)
     needed_after: list[set[str]] = [set() for _ in keys]
     live = {layers.name[id(r)] if id(r) in layers.name else r.params[0]
             for r in layers.roots.values() if r.op != "lit"}
@@ -225,16 +238,26 @@ def evaluate(
             frame = _cut(frame, reach[0], reach[1], max(long_history // 2, reach[0], reach[1], 1))
         if cut and phase is not None and phase % 2 == 0 and key[0] != phase:
             frame = frame.where(F.col("_step") == 0).drop("_step", "_piece")
+        spread = key[0] > 0 or cut
+        if spread and phase != key[0] and heavy[key[0]] >= HEAVY_PHASE and not (wide and key[0] % 2 == 1):
+            frame = frame.repartition(slots, *(symbol_keys if key[0] % 2 == 0 else [time]))
         phase = key[0]
         extra = ["_step", "_piece"] if cut and phase % 2 == 0 else []
         carried = [c for c in frame.columns
                    if c in always or c in extra or c in needed_after[at] or layers.has_native]
         new = layers.groups[key]
         if wide and phase % 2 == 1 and key[2] == 0:
-            from barloom.operators.crosssection import wide_terms
-
             todo = {layers.name[id(n)]: (n.op, [_column(a, layers, w, False) for a in n.args]) for n in new}
             frame = wide_terms(frame, todo, symbol, time, wide_date).select(*carried, *todo)
+        elif key[2] == 0 and sum(n.op == "cs_rank" for n in new) >= MANY_RANKS:
+            ranks = [n for n in new if n.op == "cs_rank"]
+            rest = [n for n in new if n.op != "cs_rank"]
+            if rest:
+                frame = frame.select(
+                    *frame.columns, *(_column(n, layers, w).alias(layers.name[id(n)]) for n in rest))
+            inputs = {layers.name[id(n)]: _column(n.args[0], layers, w, False) for n in ranks}
+            frame = many_ranks(frame, inputs, symbol, time)
+            frame = frame.select(*carried, *(layers.name[id(n)] for n in new))
         else:
             frame = frame.select(*carried, *(_column(n, layers, w).alias(layers.name[id(n)]) for n in new))
     if cut and phase is not None and phase % 2 == 0:

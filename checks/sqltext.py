@@ -158,6 +158,7 @@ TEXT = {
     "where": lambda c, a, b: f"CASE WHEN {c} = 1 THEN {a} ELSE {b} END",
     "both": lambda a, b: f"({a} = 1 AND {b} = 1)::INT",
     "coalesce": lambda *c: f"coalesce({', '.join(c)})",
+    "not_null": lambda x: f"({x} IS NOT NULL)::INT",
     "floor": lambda x: f"floor({x})",
     "cast_to_int": lambda x: f"trunc({x})::INT",
     "sqrt": lambda x: f"CASE WHEN {x} >= 0 THEN sqrt({x}) END",
