@@ -252,6 +252,11 @@ win_argmax = register("win_argmax", SYMBOL, 1, lambda w, x, n: F.max_by(
     w.i, F.struct(steady(x), -w.i)).over(w.roll(n)), _rolling, True)
 win_argmin = register("win_argmin", SYMBOL, 1, lambda w, x, n: F.min_by(
     w.i, F.struct(steady(x), w.i)).over(w.roll(n)), _rolling, True)
+# rows since the extreme; ties go to the newest row
+win_last_high = register("win_last_high", SYMBOL, 1, lambda w, x, n: F.max_by(
+    w.i, F.struct(steady(x), w.i)).over(w.roll(n)), _rolling, True)
+win_last_low = register("win_last_low", SYMBOL, 1, lambda w, x, n: F.min_by(
+    w.i, F.struct(steady(x), -w.i)).over(w.roll(n)), _rolling, True)
 ordinal = register("ordinal", ROW, 0, lambda w: w.i, ordinal=True)
 
 
@@ -266,6 +271,10 @@ ts_argmax = register("ts_argmax", MACRO, 1, lambda x, n: _when_full(
     x, n, win_argmax(x, n) - (ordinal() - float(n))), _rolling)
 ts_argmin = register("ts_argmin", MACRO, 1, lambda x, n: _when_full(
     x, n, win_argmin(x, n) - (ordinal() - float(n))), _rolling)
+ts_since_high = register("ts_since_high", MACRO, 1, lambda x, n: _when_full(
+    x, n, ordinal() - win_last_high(x, n)))
+ts_since_low = register("ts_since_low", MACRO, 1, lambda x, n: _when_full(
+    x, n, ordinal() - win_last_low(x, n)))
 ts_slope = register("ts_slope", MACRO, 1, lambda x, n: _when_full(x, n, win_slope(x, n)), _rolling)
 ts_rsquare = register("ts_rsquare", MACRO, 1, lambda x, n: _when_full(
     x, n, where(ts_min(x, n) < ts_max(x, n), win_r2(x, n), None)), _rolling)

@@ -86,12 +86,10 @@ def _cs_rank(x: str) -> str:
 
 def _smooth(x: str, alpha: float, n: int, seeded: bool) -> str:
     seen = f"count({x}) OVER {PAST}"
-    seed = f"avg({x}) OVER {_w(n)}" if seeded else x
     start = n if seeded else 1
-    lst = f"list({x}) OVER {PAST}"
+    lst = f"list_filter(list({x}) OVER {PAST}, lambda v: v IS NOT NULL)"
     first = f"list_avg(({lst})[1:{start}])"
     rest = f"({lst})[{start + 1}:]"
-    del seed
     return (f"CASE WHEN {seen} >= {start} THEN list_reduce(list_concat([{first}], {rest}), "
             f"lambda y, v: y + {alpha!r}::DOUBLE * (v - y)) END")
 
@@ -111,6 +109,10 @@ TEXT = {
     "ts_product": lambda x, n: _full(x, n, f"list_product({_list(x, n)})"),
     "ts_argmax": lambda x, n: _arg(x, n, "max"),
     "ts_argmin": lambda x, n: _arg(x, n, "min"),
+    "ts_since_high": lambda x, n: _full(
+        x, n, f"(list_position(list_reverse({_list(steady(x), n)}), max({steady(x)}) OVER {_w(n)}) - 1)::DOUBLE"),
+    "ts_since_low": lambda x, n: _full(
+        x, n, f"(list_position(list_reverse({_list(steady(x), n)}), min({steady(x)}) OVER {_w(n)}) - 1)::DOUBLE"),
     "ts_rank": _rank,
     "ts_quantile": lambda x, n, q: _full(x, n, f"quantile_cont({x}, {q}) OVER {_w(n)}"),
     "ts_slope": lambda x, n: _ols(x, n, "slope"),
