@@ -84,3 +84,26 @@ def present_sql(source: str, text: list[str] = (), whole: list[str] = (), rounde
     cols = [f"{c}::VARCHAR AS {c}" for c in text] + [f"{c}::BIGINT AS {c}" for c in whole]
     cols += [tidy_sql(f"{c}::DOUBLE", c) for c in rounded]
     return f"SELECT {', '.join(cols)} FROM {source}"
+
+
+def members(spark: SparkSession, sf: str) -> DataFrame:
+    """(vt_symbol, industry): supplier to region, as a sector name with a source prefix."""
+    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
+    return (
+        s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".SUP")).alias("vt_symbol"),
+                F.concat(F.lit("GICS1"), "r_name").alias("industry"))
+        .where(F.col("industry").startswith("GICS1")).distinct())
+
+
+MEMBERS_SQL = """members AS MATERIALIZED (SELECT DISTINCT s_suppkey || '.SUP' AS vt_symbol, 'GICS1' || r_name AS industry
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def universe(bars_df: DataFrame) -> DataFrame:
+    """A stand-in for the execution universe: bars with more than 20 units are tradable."""
+    return bars_df.select("datetime", "vt_symbol", (F.col("volume") > 20).alias("in_execution"))
+
+
+UNIVERSE_SQL = "universe AS (SELECT datetime, vt_symbol, volume > 20 AS in_execution FROM bars)"

@@ -113,6 +113,7 @@ TEXT = {
         x, n, f"(list_position(list_reverse({_list(steady(x), n)}), max({steady(x)}) OVER {_w(n)}) - 1)::DOUBLE"),
     "ts_since_low": lambda x, n: _full(
         x, n, f"(list_position(list_reverse({_list(steady(x), n)}), min({steady(x)}) OVER {_w(n)}) - 1)::DOUBLE"),
+    "ordinal": lambda: f"(row_number() OVER ({SYM}))::DOUBLE",
     "ts_rank": _rank,
     "ts_quantile": lambda x, n, q: _full(x, n, f"quantile_cont({x}, {q}) OVER {_w(n)}"),
     "ts_slope": lambda x, n: _ols(x, n, "slope"),
