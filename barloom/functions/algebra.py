@@ -236,6 +236,8 @@ ts_mean = register("ts_mean", SYMBOL, 1, lambda w, x, n: F.avg(x).over(w.roll(n)
 ts_std = register("ts_std", SYMBOL, 1, lambda w, x, n: F.stddev_pop(x).over(w.roll(n)), _rolling)
 ts_count = register("ts_count", SYMBOL, 1,
                     lambda w, x, n: F.count(x).over(w.roll(n)).cast("double"), _rolling)
+ts_std_samp = register("ts_std_samp", SYMBOL, 1,
+                       lambda w, x, n: F.stddev_samp(x).over(w.roll(n)), _rolling)
 win_sum = register("win_sum", SYMBOL, 1, lambda w, x, n: F.sum(x).over(w.roll(n)), _rolling)
 win_product = register("win_product", SYMBOL, 1,
                        lambda w, x, n: F.product(x).over(w.roll(n)), _rolling)

@@ -104,6 +104,7 @@ TEXT = {
     "ts_max": lambda x, n: f"max({x}) OVER {_w(n)}",
     "ts_mean": lambda x, n: f"avg({x}) OVER {_w(n)}",
     "ts_std": lambda x, n: f"stddev_pop({x}) OVER {_w(n)}",
+    "ts_std_samp": lambda x, n: f"stddev_samp({x}) OVER {_w(n)}",
     "ts_count": lambda x, n: f"(count({x}) OVER {_w(n)})::DOUBLE",
     "ts_sum": lambda x, n: _full(x, n, f"list_sum({_list(x, n)})"),
     "ts_product": lambda x, n: _full(x, n, f"list_product({_list(x, n)})"),
