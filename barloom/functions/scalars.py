@@ -25,7 +25,7 @@ def ceil_to(x: Column, tick: float) -> Column:
 
 def digits(x: Column) -> Column:
     """Number of decimals of the shortest text of the number."""
-    text = F.rtrim(F.lit("0"), x.cast("decimal(30,12)").cast("string"))
+    text = F.rtrim(x.cast("decimal(30,12)").cast("string"), F.lit("0"))
     return F.length(F.substring_index(text, ".", -1))
 
 

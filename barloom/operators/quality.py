@@ -292,3 +292,16 @@ def common_date(frames: dict[str, DataFrame], date: str = "datetime") -> DataFra
         "blocks", F.col("latest") < F.col("newest"))
 
 
+def dataset_profile(df: DataFrame, reason: str | None = None) -> DataFrame:
+    """Rows, symbols, special-treatment names, zero-volume rows and reason counts (name, value)."""
+    cols = df.columns
+    head = [F.count(F.lit(1)).alias("rows"), F.count_distinct("vt_symbol").alias("symbols")]
+    head += [F.count_distinct(F.when(F.col("name").contains("ST"), F.col("vt_symbol"))).alias("st_names")] if "name" in cols else []
+    head += [F.count_if(F.col("volume") <= 0).alias("zero_volume")] if "volume" in cols else []
+    row = df.agg(*head)
+    tall = row.select(F.explode(F.array(*(
+        F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in row.columns))).alias("r")).select("r.*")
+    if reason is None:
+        return tall
+    return tall.unionByName(df.groupBy(F.concat(F.lit("reason:"), F.col(reason)).alias("name")).agg(
+        F.count(F.lit(1)).alias("value")))

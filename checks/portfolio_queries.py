@@ -313,7 +313,7 @@ add("weak_market", lambda spark, sf: present(B.weak_market(bars(spark, sf).selec
 
 
 def selection(spark, sf):
-    return bars(spark, sf, "week").where("volume > 150").select(F.col("datetime").alias("rebalance_date"))
+    return bars(spark, sf, "week").where("vt_symbol = '7.SUP' AND volume > 40").select(F.col("datetime").alias("rebalance_date"))
 
 
 def calendar(spark, sf):
@@ -321,10 +321,10 @@ def calendar(spark, sf):
 
 
 add("no_signal_month_ends", lambda spark, sf: present(B.no_signal_month_ends(selection(spark, sf), calendar(spark, sf), "2001-06-30"), ["month_end"]),
-    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, e AS (SELECT strftime(datetime, '%Y-%m') AS m, max(datetime) AS month_end FROM bars GROUP BY 1), s AS (SELECT datetime FROM wk WHERE volume > 150)
+    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, e AS (SELECT strftime(datetime, '%Y-%m') AS m, max(datetime) AS month_end FROM bars GROUP BY 1), s AS (SELECT datetime FROM wk WHERE vt_symbol = '7.SUP' AND volume > 40)
   SELECT month_end::VARCHAR AS month_end FROM e WHERE m < (SELECT max(m) FROM e) AND m NOT IN (SELECT strftime(datetime, '%Y-%m') FROM s) AND month_end >= (SELECT min(datetime) FROM s) AND month_end <= DATE '2001-06-30'""")
 add("rebalance_periods", lambda spark, sf: present(B.rebalance_periods(selection(spark, sf), calendar(spark, sf), "2001-06-30"), ["signal_date", "exec_date"]),
-    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, r AS (SELECT s.datetime AS signal_date, (SELECT min(datetime) FROM bars WHERE datetime > s.datetime) AS exec_date FROM (SELECT DISTINCT datetime FROM wk WHERE volume > 150) s)
+    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, r AS (SELECT s.datetime AS signal_date, (SELECT min(datetime) FROM bars WHERE datetime > s.datetime) AS exec_date FROM (SELECT DISTINCT datetime FROM wk WHERE vt_symbol = '7.SUP' AND volume > 40) s)
   SELECT signal_date::VARCHAR AS signal_date, exec_date::VARCHAR AS exec_date FROM r WHERE exec_date <= DATE '2001-06-30'""")
 add("stop_loss", lambda spark, sf: present(B.stop_loss_triggers(valued(spark, sf), 0.2), ["vt_symbol", "entry_date", "trigger_date"], (), ["drawdown"]),
     f"""{VAL_SQL}, h AS (SELECT *, last_close_adj / (buy_open_adj * 1.001) - 1 AS drawdown FROM val), r AS (SELECT vt_symbol, entry_date, min(datetime) AS trigger_date, arg_min(drawdown, datetime) AS drawdown FROM h WHERE drawdown < -0.2 - 1e-9 GROUP BY 1, 2) """

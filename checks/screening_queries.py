@@ -439,3 +439,6 @@ add("quality_common_date", lambda spark, sf: present(Q.common_date({"daily": bar
 add("quality_snapshot_age", lambda spark, sf: Q.snapshot_age_check(bars(spark, sf), "datetime", "2002-01-31", "raw", "paper").select("name", "severity", "status", "observed"),
     f"""WITH {bars_sql()}, a AS (SELECT DATE '2002-01-31' - max(datetime) AS age FROM bars) SELECT 'snapshot_age' AS name, 'blocking' AS severity,
   CASE WHEN age BETWEEN 0 AND 7 THEN 'pass' ELSE 'fail' END AS status, age::VARCHAR AS observed FROM a""")
+add("quality_dataset_profile", lambda spark, sf: Q.dataset_profile(status(spark, sf), "status_reason"),
+    STAT_SQL + """ SELECT 'rows' AS name, count(*)::BIGINT AS value FROM st UNION ALL SELECT 'symbols', count(DISTINCT vt_symbol) FROM st UNION ALL SELECT 'st_names', count(DISTINCT CASE WHEN is_st THEN vt_symbol END) FROM st
+  UNION ALL SELECT 'zero_volume', 0 UNION ALL SELECT 'reason:' || status_reason, count(*) FROM st GROUP BY 1""")
