@@ -234,8 +234,11 @@ ts_min = register("ts_min", SYMBOL, 1, lambda w, x, n: F.min(x).over(w.roll(n)),
 ts_max = register("ts_max", SYMBOL, 1, lambda w, x, n: F.max(x).over(w.roll(n)), _rolling)
 ts_mean = register("ts_mean", SYMBOL, 1, lambda w, x, n: F.avg(x).over(w.roll(n)), _rolling)
 ts_std = register("ts_std", SYMBOL, 1, lambda w, x, n: F.stddev_pop(x).over(w.roll(n)), _rolling)
-ts_count = register("ts_count", SYMBOL, 1,
-                    lambda w, x, n: F.count(x).over(w.roll(n)).cast("double"), _rolling)
+# sample counts are differences of one running count, so a long window costs no more than a short
+# one; the count may start anywhere, hence no look-back of its own
+count_so_far = register("count_so_far", SYMBOL, 1, lambda w, x: F.count(x).over(w.past).cast("double"))
+ts_count = register("ts_count", MACRO, 1,
+                    lambda x, n: count_so_far(x) - coalesce(ts_delay(count_so_far(x), n), 0.0))
 ts_std_samp = register("ts_std_samp", SYMBOL, 1,
                        lambda w, x, n: F.stddev_samp(x).over(w.roll(n)), _rolling)
 win_sum = register("win_sum", SYMBOL, 1, lambda w, x, n: F.sum(x).over(w.roll(n)), _rolling)

@@ -52,10 +52,11 @@ def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str)
     The inputs are laid out as rows (date, column number, value), ranked together and folded
     back; the other columns travel with the first of these rows, so nothing is joined.
     """
-    values = F.array(*(steady(x).cast("double") for x in inputs.values()))
-    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"),
-                      F.struct(*df.columns).alias("_row"), F.posexplode(values).alias("_k", "_x"))
-    cells = cells.withColumn("_row", F.when(F.col("_k") == 0, F.col("_row")))
+    row = F.struct(*df.columns)
+    values = F.array(*(F.struct(steady(x).cast("double").alias("_x"), F.when(F.lit(k == 0), row).alias("_row"))
+                       for k, x in enumerate(inputs.values())))
+    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"), F.posexplode(values).alias("_k", "_v"))
+    cells = cells.select("_t", "_s", "_k", "_v._x", "_v._row")
     spec = Window.partitionBy("_t", "_k").orderBy("_x")
     same = spec.rangeBetween(Window.currentRow, Window.currentRow)
     missing = F.count(F.when(F.col("_x").isNull(), 1)).over(
