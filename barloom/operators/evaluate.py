@@ -225,41 +225,47 @@ def evaluate(
     symbol_keys = [symbol, "_piece"] if cut else [symbol]
     w = Windows(symbol_keys, [time], time)
 
-    needed_after: list[set[str]] = [set() for _ in keys]
-    live = {layers.name[id(r)] if id(r) in layers.name else r.params[0]
-            for r in layers.roots.values() if r.op != "lit"}
+    needed: list[set[str]] = [set() for _ in range(len(keys) + 1)]
+    needed[-1] = {layers.name[id(r)] if id(r) in layers.name else r.params[0]
+                  for r in layers.roots.values() if r.op != "lit"}
     for at in range(len(keys) - 1, -1, -1):
-        needed_after[at] = set(live)
-        for node in layers.groups[keys[at]]:
-            live |= layers.reads(node)
+        needed[at] = needed[at + 1].union(*(layers.reads(n) for n in layers.groups[keys[at]]))
     phase = None
+    columns = list(frame.columns)
+
+    def trimmed(at: int, extra: list[str]) -> list[str]:
+        return [c for c in columns if c in always or c in extra or c in needed[at] or layers.has_native]
+
     for at, key in enumerate(keys):
-        if cut and key[0] % 2 == 0 and phase != key[0]:
-            frame = _cut(frame, reach[0], reach[1], max(long_history // 2, reach[0], reach[1], 1))
-        if cut and phase is not None and phase % 2 == 0 and key[0] != phase:
-            frame = frame.where(F.col("_step") == 0).drop("_step", "_piece")
-        spread = key[0] > 0 or cut
-        if spread and phase != key[0] and heavy[key[0]] >= HEAVY_PHASE and not (wide and key[0] % 2 == 1):
-            frame = frame.repartition(slots, *(symbol_keys if key[0] % 2 == 0 else [time]))
-        phase = key[0]
-        extra = ["_step", "_piece"] if cut and phase % 2 == 0 else []
-        carried = [c for c in frame.columns
-                   if c in always or c in extra or c in needed_after[at] or layers.has_native]
+        dated = key[0] % 2 == 1
+        if phase != key[0]:
+            if cut and phase is not None and phase % 2 == 0:
+                frame = frame.where(F.col("_step") == 0)
+            # rows are narrowed before they are exchanged; inside a phase Catalyst prunes by itself
+            columns = trimmed(at, [])
+            frame = frame.select(*columns)
+            if cut and not dated:
+                frame = _cut(frame, reach[0], reach[1], max(long_history // 2, reach[0], reach[1], 1))
+                columns += ["_step", "_piece"]
+            if (key[0] > 0 or cut) and heavy[key[0]] >= HEAVY_PHASE and not (wide and dated):
+                frame = frame.repartition(slots, *([time] if dated else symbol_keys))
+            phase = key[0]
         new = layers.groups[key]
-        if wide and phase % 2 == 1 and key[2] == 0:
+        names = [layers.name[id(n)] for n in new]
+        ranks = [n for n in new if n.op == "cs_rank"]
+        if wide and dated and key[2] == 0:
             todo = {layers.name[id(n)]: (n.op, [_column(a, layers, w, False) for a in n.args]) for n in new}
-            frame = wide_terms(frame, todo, symbol, time, wide_date).select(*carried, *todo)
-        elif key[2] == 0 and sum(n.op == "cs_rank" for n in new) >= MANY_RANKS:
-            ranks = [n for n in new if n.op == "cs_rank"]
-            rest = [n for n in new if n.op != "cs_rank"]
-            if rest:
-                frame = frame.select(
-                    *frame.columns, *(_column(n, layers, w).alias(layers.name[id(n)]) for n in rest))
+            columns = trimmed(at + 1, []) + names
+            frame = wide_terms(frame, todo, symbol, time, wide_date).select(*columns)
+        elif len(ranks) >= MANY_RANKS:
+            rest = [_column(n, layers, w).alias(layers.name[id(n)]) for n in new if n.op != "cs_rank"]
+            frame = frame.select(*trimmed(at, []), *rest)
             inputs = {layers.name[id(n)]: _column(n.args[0], layers, w, False) for n in ranks}
-            frame = many_ranks(frame, inputs, symbol, time)
-            frame = frame.select(*carried, *(layers.name[id(n)] for n in new))
+            columns = trimmed(at + 1, []) + names
+            frame = many_ranks(frame, inputs, symbol, time).select(*columns)
         else:
-            frame = frame.select(*carried, *(_column(n, layers, w).alias(layers.name[id(n)]) for n in new))
+            frame = frame.select("*", *(_column(n, layers, w).alias(layers.name[id(n)]) for n in new))
+            columns += names
     if cut and phase is not None and phase % 2 == 0:
         frame = frame.where(F.col("_step") == 0)
     outs = []

@@ -28,6 +28,8 @@ def get_session(app: str = "barloom", master: str | None = None, cores: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites of every expression cost many round trips while large plans are built
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 
