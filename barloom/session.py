@@ -34,16 +34,24 @@ def get_session(app: str = "barloom", master: str | None = None, cores: int = 8)
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without one (tests, local runs) gets a fresh local folder.
+    Only a local session without one (tests) gets a fresh local folder; a cluster session must
+    name a folder all executors can reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
