@@ -247,11 +247,17 @@ win_product = register("win_product", SYMBOL, 1,
 win_cov = register("win_cov", SYMBOL, 2, lambda w, x, y, n: F.covar_pop(x, y).over(w.roll(n)), _rolling)
 win_slope = register("win_slope", SYMBOL, 1,
                      lambda w, x, n: F.regr_slope(x, w.i).over(w.roll(n)), _rolling, True)
-win_r2 = register("win_r2", SYMBOL, 1,
-                  lambda w, x, n: F.regr_r2(x, w.i).over(w.roll(n)), _rolling, True)
-win_quantile = register("win_quantile", SYMBOL, 1,
-                        lambda w, x, n, q: F.percentile(x, F.lit(q)).over(w.roll(n)),
-                        lambda n, q: (n - 1, 0))
+
+
+def _win_quantile(w: "Windows", x: Column, n: int, q: float) -> Column:
+    """Linear interpolation in the sorted window (a full window of n values)."""
+    values = F.sort_array(F.collect_list(x).over(w.roll(n)))
+    at = (n - 1) * q
+    low, high = F.get(values, F.lit(int(at))), F.get(values, F.lit(min(int(at) + 1, n - 1)))
+    return low + (high - low) * (at - int(at))
+
+
+win_quantile = register("win_quantile", SYMBOL, 1, _win_quantile, lambda n, q: (n - 1, 0))
 # row number of the extreme; ties go to the oldest row
 win_argmax = register("win_argmax", SYMBOL, 1, lambda w, x, n: F.max_by(
     w.i, F.struct(steady(x), -w.i)).over(w.roll(n)), _rolling, True)
@@ -281,8 +287,9 @@ ts_since_high = register("ts_since_high", MACRO, 1, lambda x, n: _when_full(
 ts_since_low = register("ts_since_low", MACRO, 1, lambda x, n: _when_full(
     x, n, ordinal() - win_last_low(x, n)))
 ts_slope = register("ts_slope", MACRO, 1, lambda x, n: _when_full(x, n, win_slope(x, n)), _rolling)
+# explained variance from the slope: var(index) of a full window is (n*n-1)/12
 ts_rsquare = register("ts_rsquare", MACRO, 1, lambda x, n: _when_full(
-    x, n, where(ts_min(x, n) < ts_max(x, n), win_r2(x, n), None)), _rolling)
+    x, n, win_slope(x, n) * win_slope(x, n) * ((n * n - 1) / 12.0) / (ts_std(x, n) * ts_std(x, n))))
 ts_resi = register("ts_resi", MACRO, 1, lambda x, n: _when_full(
     x, n, x - ts_mean(x, n) - win_slope(x, n) * ((n - 1) / 2.0)), _rolling)
 ts_quantile = register("ts_quantile", MACRO, 1,

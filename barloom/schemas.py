@@ -28,3 +28,8 @@ VERSIONS = struct("version string, dataset string, rows bigint, columns int, dat
                   "symbols bigint, bytes bigint, content_hash string")
 ORDERS = struct("id string, symbol string, side string, quantity double, price double, status string, time string, "
                 "traded_quantity double, message string")
+
+
+def empty(spark, schema: T.StructType):
+    """An empty table of a published schema, as the start of a union."""
+    return spark.createDataFrame([], schema)
