@@ -365,8 +365,8 @@ block_sum = register("block_sum", SYMBOL, 2, lambda w, x, key: F.sum(x).over(w.b
 # --- per-date operators ------------------------------------------------------------------
 
 
-def _cs_rank(w: Windows, x: Column) -> Column:
-    me = steady(x)
+def _cs_rank(w: Windows, x: Column, rounded: bool = True) -> Column:
+    me = steady(x) if rounded else x
     ties = F.count(F.lit(1)).over(w.day_by(me).rangeBetween(Window.currentRow, Window.currentRow))
     nulls_first = F.count(F.when(x.isNull(), 1)).over(
         w.day_by(me).rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -374,6 +374,8 @@ def _cs_rank(w: Windows, x: Column) -> Column:
 
 
 cs_rank = register("cs_rank", DATE, 1, _cs_rank)
+# the same without rounding, for correlations of ranks where single ties do not matter
+cs_rank_raw = register("cs_rank_raw", DATE, 1, lambda w, x: _cs_rank(w, x, False))
 cs_count = register("cs_count", DATE, 1, lambda w, x: F.count(x).over(w.day).cast("double"))
 cs_mean = register("cs_mean", DATE, 1, lambda w, x: F.avg(x).over(w.day))
 cs_std = register("cs_std", DATE, 1, lambda w, x: F.stddev_samp(x).over(w.day))

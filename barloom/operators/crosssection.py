@@ -75,13 +75,13 @@ def wide_terms(
 ) -> DataFrame:
     """Add one column per entry of ``todo`` (name -> per-date operator and its inputs)."""
     plain = {name: spec for name, spec in todo.items() if spec[0] in _AGGREGATES}
-    ranks = {name: spec for name, spec in todo.items() if spec[0] == "cs_rank"}
+    ranks = {name: spec for name, spec in todo.items() if spec[0] in ("cs_rank", "cs_rank_raw")}
     unknown = set(todo) - set(plain) - set(ranks)
     if unknown:
         raise ValueError(f"no wide-date form for {sorted(unknown)}")
     frame = df
-    for name, (_, args) in ranks.items():
-        frame = frame.withColumn(f"{name}_v", steady(args[0]))
+    for name, (op, args) in ranks.items():
+        frame = frame.withColumn(f"{name}_v", steady(args[0]) if op == "cs_rank" else args[0])
     frame = materialise(frame, "wide")
     result = frame
     if plain:

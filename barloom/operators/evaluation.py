@@ -187,17 +187,15 @@ def composite_score(pool: DataFrame, strength: str, near_high: str, volume: str,
         w * F.col(c) for w, c in zip(weights, ("rank_rs", "rank_nh", "rank_vol"))))
 
 
-def _average_rank(x: str, date: str) -> Column:
-    order = Window.partitionBy(date).orderBy(x)
-    same = order.rangeBetween(Window.currentRow, Window.currentRow)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
-
-
 def rank_ic(pool: DataFrame, factor: str, target: str = "fwd_ret", min_names: int = MIN_NAMES,
-            date: str = "datetime") -> DataFrame:
-    """Spearman correlation of factor and target per date: (date, n, ic)."""
+            date: str = "datetime", widest: int = 0) -> DataFrame:
+    """Spearman correlation of factor and target per date: (date, n, ic).
+
+    ``widest`` bounds the rows of one date; above ``evaluate``'s limit ranks leave single windows.
+    """
     data = pool.select(date, F.col(factor).alias("x"), F.col(target).alias("y")).dropna()
-    ranked = data.select(date, _average_rank("x", date).alias("rx"), _average_rank("y", date).alias("ry"))
+    ranks = {"rx": A.cs_rank_raw(field("x")), "ry": A.cs_rank_raw(field("y"))}
+    ranked = evaluate(data, ranks, keep=[], symbol=date, time=date, sizes=(0, widest))
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")
     return ranked.groupBy(date).agg(
         F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("rx", "ry"), spread).alias("ic"),

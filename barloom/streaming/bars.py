@@ -30,19 +30,25 @@ def tick_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     The first tick of a bar of ``seconds`` opens it with its own price only, so a day extreme
     reached by that tick does not count.
     """
-    t = ticks.where(F.col("last_price") > 0)
-    w = Window.partitionBy("vt_symbol").orderBy("datetime")
+    # a busy instrument is split by day; the last tick of the day before is one row per day
+    t = ticks.where(F.col("last_price") > 0).withColumn("_d", F.col("datetime").cast("date"))
+    state = F.struct("datetime", "volume", "turnover", "high_price", "low_price")
+    ends = t.groupBy("vt_symbol", "_d").agg(F.max_by(state, "datetime").alias("_end"))
+    carry = ends.select("vt_symbol", "_d", F.lag("_end").over(
+        Window.partitionBy("vt_symbol").orderBy("_d")).alias("_carry"))
+    inside = Window.partitionBy("vt_symbol", "_d").orderBy("datetime")
+    t = t.join(carry, ["vt_symbol", "_d"]).withColumn("_p", F.coalesce(F.lag(state).over(inside), F.col("_carry")))
 
     def rise(x: str) -> Column:
-        return F.greatest(F.coalesce(F.col(x) - F.lag(x).over(w), F.lit(0.0)), F.lit(0.0))
+        return F.greatest(F.coalesce(F.col(x) - F.col("_p")[x], F.lit(0.0)), F.lit(0.0))
 
-    same = _bucket(F.col("datetime"), seconds) == F.lag(_bucket(F.col("datetime"), seconds)).over(w)
-    before_high, before_low = F.lag("high_price").over(w), F.lag("low_price").over(w)
+    same = _bucket(F.col("datetime"), seconds) == _bucket(F.col("_p")["datetime"], seconds)
+    high, low = F.col("high_price"), F.col("low_price")
     return t.select(
         "vt_symbol", F.col("datetime").cast("timestamp").alias("datetime"), "last_price",
         rise("volume").alias("d_volume"), rise("turnover").alias("d_turnover"),
-        F.when(same & (F.col("high_price") > before_high), F.col("high_price")).alias("new_high"),
-        F.when(same & (F.col("low_price") < before_low), F.col("low_price")).alias("new_low"))
+        F.when(same & (high > F.col("_p")["high_price"]), high).alias("new_high"),
+        F.when(same & (low < F.col("_p")["low_price"]), low).alias("new_low"))
 
 
 def bars_from_deltas(deltas: DataFrame, length: str = "1 minute") -> DataFrame:
@@ -61,6 +67,7 @@ def tick_bars(ticks: DataFrame, seconds: int = 60) -> DataFrame:
 def stream_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     """``tick_deltas`` on a stream: state per symbol is the last tick's cumulative fields.
 
+    Bound the micro-batch at the source: a symbol's rows of one batch are ordered in its state task.
     Within a micro-batch rows are put in event-time order; a tick not later than the symbol's
     last one is late and dropped.
     """

@@ -134,3 +134,15 @@ def test_channels_and_true_range(frame, column):
     assert column(out, "exit_channel") == [None, None, 9, 10, 11]
     assert column(out, "true_range") == [2] * 5
     assert column(out, "atr_simple") == [None, 2, 2, 2, 2]
+
+
+def test_rank_ic_on_wide_dates(noisy):
+    from barloom.operators.evaluation import rank_ic
+
+    pool = evaluate(noisy, {"f": A.ts_delta(x, 3), "fwd_ret": A.ts_delay(x, -1) / x - 1})
+    plain = rank_ic(pool, "f", min_names=3).toPandas().sort_values("datetime", ignore_index=True)
+    import barloom.operators.evaluate as module
+    wide = rank_ic(pool, "f", min_names=3, widest=module.WIDE_DATE + 1).toPandas().sort_values("datetime", ignore_index=True)
+    pd.testing.assert_frame_equal(plain, wide)
+    expected = pool.toPandas().dropna(subset=["f", "fwd_ret"]).groupby("datetime")[["f", "fwd_ret"]].apply(lambda g: g.f.rank().corr(g.fwd_ret.rank()))
+    assert np.allclose(plain.ic, expected.sort_index())
