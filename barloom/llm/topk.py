@@ -87,8 +87,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     # two counts; they size the blocks
     n, m = rows.count(), asked.count()
     c_blocks, q_blocks = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / batch))
-    q_side = asked.select("id", "v", "dims", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    c_side = rows.select("id", "v", "dims", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    q_side = asked.select("id", "v", "dims", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
+    c_side = rows.select("id", "v", "dims", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -104,6 +104,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
             found.append(out.groupby("query_id").head(k))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
+    # both sides have keys of the same types, else equal keys are dealt to different partitions
     keys = ["qb", "cb", "dims"]
     best = q_side.groupBy(*keys).cogroup(c_side.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

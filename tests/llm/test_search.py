@@ -33,6 +33,15 @@ def test_top_k_equals_brute_force(spark, candidates, batch):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_blocks_meet_without_coalescing(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+        assert topk.top_k(df, F.col("vec_id") % 10 == 0, candidates=50, batch=5).count() == 200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, -131072)]
