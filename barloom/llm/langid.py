@@ -21,7 +21,7 @@ from barloom.llm.common import plain, slices, unit_hash
 #: Hash buckets of subwords, their lengths in bytes, and the width of the embedding.
 BUCKETS, SIZES, WIDTH = 1 << 15, (2, 3, 4), 16
 #: About so many labelled documents are learnt from, shared evenly by the languages.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Share of rightly predicted validation documents that the rejection threshold may cost, and its upper bound.
 FALSE_REJECTS, HIGHEST = 0.0005, 0.5
 
@@ -94,8 +94,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 3) -> L
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
     target = np.searchsorted(np.array(languages, object), np.array(langs, object)) if languages else np.zeros(0, np.int64)
-    featured = [subwords(plain(pa.array([x])))[0] for x in texts]
-    bags = [np.unique(x, return_counts=True) if len(x) else None for x in featured]
+    bags = []  # narrow types: the driver holds the bags of the whole sample
+    for text in texts:
+        codes, counts = np.unique(subwords(plain(pa.array([text])))[0], return_counts=True)
+        bags.append((codes.astype(np.int32), counts.astype(np.float32)) if len(codes) else None)
     usable = [i for i, x in enumerate(bags) if x is not None]
     rng.shuffle(usable)
     held, used = usable[: len(usable) // 10], usable[len(usable) // 10 :]
@@ -120,7 +122,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 3) -> L
     model = LanguageModel(languages, (embed @ out).astype(np.float64), bias.astype(np.float64))
     check = held or used
     if check and len(languages) > 1:
-        logits = np.log(np.maximum(model.probabilities(plain(pa.array([texts[i] for i in check]))), 1e-12))
+        logits = np.stack([(counts @ model.table[codes]) / counts.sum() for codes, counts in (bags[i] for i in check)]) + model.bias
         right = target[check]
         heat = np.geomspace(0.25, 4, 33)
         loss = [-np.log(softmax(logits / t)[np.arange(len(check)), right]).mean() for t in heat]
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = plain(batch.column(len(names)))
-            for i, j in slices(texts):
+            for i, j in slices(texts, 1 << 20):
                 lettered = batch.column(len(names) + 1)[i:j].to_numpy(zero_copy_only=False).astype(bool)
                 if model.languages:
                     sure = model.probabilities(texts[i:j])
