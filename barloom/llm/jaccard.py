@@ -8,7 +8,8 @@ binary search in their sorted sets until the required overlap is reached or out
 
 Lists are merged twice, so that groups of near copies never give all their pairs. First each document meets its
 neighbour in every list and the list's head; links found so are closed to classes. Then only documents of different
-classes are still to be compared, which finds every remaining link between classes.
+classes are still to be compared, which finds every remaining link between classes. Pairs are first held against
+counts of their shingles by bucket, whose smaller ones add up to no less than the overlap; sets are fetched for the rest.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from barloom.session import materialise
 #: are short, never the result.
 COUNTERS, ROWS = 1 << 20, 256
 
+#: Buckets of the marks by which pairs are ruled out before their sets are fetched, and the largest set that has marks
+#: (counts of larger ones might not fit a byte; their pairs are always probed).
+MARKS, MARKED = 256, 20_000
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -100,7 +105,7 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, short) of rows (doc_id, text): set size, two fingerprints of the set, hashes of its short lists in order."""
+    """(doc_id, n, f1, f2, short, marks) of rows (doc_id, text): set size, two fingerprints of the set, hashes of its short lists in order, counts by bucket."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         texts = plain(batch.column(1))
@@ -116,7 +121,7 @@ def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
             for i, j in slices(texts):
                 codes, cuts = shingle_sets(texts[i:j], width)
                 count = often[(codes & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                n, f1, f2, short = np.diff(cuts), [], [], []
+                n, f1, f2, short, marks = np.diff(cuts), [], [], [], []
                 again = mixed(codes ^ np.uint64(0xA24BAED4963EE407))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     f1.append(int(codes[a:b].sum(dtype=np.uint64).view(np.int64)))
@@ -124,11 +129,13 @@ def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     first = b - a - -(-(b - a) * percent // 100) + 1 if b > a else 0
                     order = np.argsort(count[a:b], kind="stable")[:first]  # equal counts keep the order of hashes
                     short.append(codes[a:b][order].view(np.int64))
+                    counts = np.bincount((codes[a:b] >> np.uint64(40)).astype(np.int64) % MARKS, minlength=MARKS) if b - a <= MARKED else None
+                    marks.append(counts.astype(np.uint8).tobytes() if counts is not None and counts.max() < 256 else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(short, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "short"])
+                    [batch.column(0)[i:j], pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    names=["doc_id", "n", "f1", "f2", "short", "marks"])
 
-    return rows.mapInArrow(search, "doc_id long, n long, f1 long, f2 long, short array<long>")
+    return rows.mapInArrow(search, "doc_id long, n long, f1 long, f2 long, short array<long>, marks binary")
 
 
 def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -153,6 +160,28 @@ def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return found.join(ids, "id", "left_semi")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their marks don't rule out."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            left, right = batch.column(4), batch.column(5)
+            both = np.flatnonzero(left.is_valid().to_numpy(zero_copy_only=False) & right.is_valid().to_numpy(zero_copy_only=False))
+            for k in range(0, len(both), 4096):
+                at = both[k : k + 4096]
+                x, y = (np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, MARKS) for side in (left, right))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                sizes = batch.column(2).to_numpy(zero_copy_only=False)[at] + batch.column(3).to_numpy(zero_copy_only=False)[at]
+                keep[at] = 100 * most >= percent * (sizes - most)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    own = classes.select("id", "n", "marks")
+    left = pairs.join(own.withColumnsRenamed({"id": "a", "n": "na", "marks": "x"}), "a")
+    both = left.join(own.withColumnsRenamed({"id": "b", "n": "nb", "marks": "y"}), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(search, "a long, b long").distinct()
+
+
 def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the required overlap, each once."""
 
@@ -209,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     each = materialise(prefixes(rows, width, percent), "prefixes")
     same = ["f1", "f2", "n"]
     # one class for each distinct set
-    sets = each.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.any_value("short").alias("short"))
+    sets = each.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.any_value("short").alias("short"), F.any_value("marks").alias("marks"))
     classes = materialise(sets, "classes")
     lists = classes.select("id", "n", F.posexplode("short").alias("place", "code"))
     order = Window.partitionBy("code").orderBy("n", "id")
@@ -225,14 +254,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         rest = F.least(a - F.col(f"{x}.place"), b - F.col(f"{y}.place"))
         return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (rest >= overlap(a, b, percent)) & (F.col(f"{x}.id") != F.col(f"{y}.id"))
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     near = lists.where("before IS NOT NULL").select(own.alias("x"), F.explode(F.array("before", "head")).alias("y"))
-    first = materialise(ordered(near.where(reachable("x", "y"))), "pairs")
-    many = lists.select("id").distinct()
-    known = materialise(sets_of(rows, many, width), "sets")
-    links = materialise(probe(first, known, percent), "links")
+    first = materialise(plausible(ordered(near.where(reachable("x", "y"))), classes, percent), "pairs")
+    links = materialise(probe(first, sets_of(rows, ends(first), width), percent), "links")
     classed = materialise(components(links), "classed")
 
     # what is still to be compared: members of different classes in one list
@@ -241,10 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     open_lists = materialise(parts.join(mixed_lists, "code"), "open")
     x, y = (open_lists.select("code", F.col("own").alias(f"{s}own"), own.alias(s)) for s in "xy")
     across = x.join(y, "code").where(F.col("xown") < F.col("yown")).where(reachable("x", "y"))
-    second = ordered(across).join(first, ["a", "b"], "left_anti")
-    more = materialise(probe(second, known, percent), "links")
-    if not more.isEmpty():
-        classed = components(links.unionByName(more))
+    second = materialise(plausible(ordered(across).join(first, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    if not second.isEmpty():
+        classed = components(links.unionByName(probe(second, sets_of(rows, ends(second), width), percent)))
 
     nodes = classes.select(*same, "id").join(classed, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     alone = each.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
