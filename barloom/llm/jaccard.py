@@ -206,23 +206,33 @@ def probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of all ids in edges (a, b): the smallest id reachable, by alternating large and small stars."""
-    pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = materialise(small.where("u <> v").distinct(), "edges")
-        # a forest of stars is final: no id is both an end and a centre, and each end has one centre
-        ends = after.groupBy("u").count()
-        unsettled = ends.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").unionByName(ends.where("count > 1"))
-        pairs = after
-        if unsettled.isEmpty():
-            break
-    centres = pairs.select(F.col("v").alias("id")).distinct()
-    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres.select("id", F.col("id").alias("component")))
+    """(id, component) of all ids in edges (a, b): the smallest id reachable, by repeated contraction.
+
+    In each turn every id moves to that neighbour, or stays at itself, whose hash is smallest; edges move along, and those within
+    one id vanish. Hashes differ from turn to turn, so paths shrink by a constant factor and large groups at once.
+    """
+    left = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("to")))
+
+        def drawn(name: str, turn: int = len(steps)) -> Column:
+            return F.xxhash64(F.lit(turn), name)
+
+        near = both.groupBy("id").agg(F.min_by("to", drawn("to")).alias("to"), F.min(drawn("to")).alias("least"))
+        step = materialise(near.select("id", F.when(drawn("id") < F.col("least"), F.col("id")).otherwise(F.col("to")).alias("to")), "step")
+        steps.append(step)
+        moved = left.join(step.withColumnsRenamed({"id": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"id": "b", "to": "y"}), "b")
+        left = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not steps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    whole = steps[-1]
+    for step in reversed(steps[:-1]):
+        later = whole.withColumnsRenamed({"id": "to", "to": "last"})
+        whole = step.join(later, "to", "left").select("id", F.coalesce("last", "to").alias("to"))
+    whole = materialise(whole, "moved")
+    least = whole.groupBy("to").agg(F.min("id").alias("component"))
+    return whole.join(least, "to").select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
