@@ -228,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     whole = steps[-1]
     for step in reversed(steps[:-1]):
-        later = whole.withColumnsRenamed({"id": "to", "to": "last"})
+        later = whole.select(F.col("id").alias("to"), F.col("to").alias("last"))
         whole = step.join(later, "to", "left").select("id", F.coalesce("last", "to").alias("to"))
     whole = materialise(whole, "moved")
     least = whole.groupBy("to").agg(F.min("id").alias("component"))
