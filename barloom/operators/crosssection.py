@@ -50,24 +50,27 @@ def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str)
     """Add average-tie ranks of many columns with one sort instead of one sort per column.
 
     The inputs are laid out as rows (date, column number, value), ranked together and folded
-    back; the other columns travel with the first of these rows, so nothing is joined.
+    back; the other columns travel with the first of these rows, so nothing is joined. Rows that
+    repeat a key are told apart by a hash of all their columns; equal rows have equal ranks and are repeated.
     """
     row = F.struct(*df.columns)
     values = F.array(*(F.struct(steady(x).cast("double").alias("_x"), F.when(F.lit(k == 0), row).alias("_row"))
                        for k, x in enumerate(inputs.values())))
-    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"), F.posexplode(values).alias("_k", "_v"))
-    cells = cells.select("_t", "_s", "_k", "_v._x", "_v._row")
+    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"), F.xxhash64(*df.columns).alias("_h"), F.posexplode(values).alias("_k", "_v"))
+    cells = cells.select("_t", "_s", "_h", "_k", "_v._x", "_v._row")
     spec = Window.partitionBy("_t", "_k").orderBy("_x")
     same = spec.rangeBetween(Window.currentRow, Window.currentRow)
     missing = F.count(F.when(F.col("_x").isNull(), 1)).over(
         spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     rank = F.rank().over(spec) - missing + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
     cells = cells.withColumn("_r", F.when(F.col("_x").isNotNull(), rank))
-    folded = cells.groupBy("_t", "_s").agg(
+    folded = cells.groupBy("_t", "_s", "_h").agg(
         F.first("_row", ignorenulls=True).alias("_row"),
         F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
+    folded = folded.withColumn("_n", (F.size("_ranks") / F.lit(len(inputs))).cast("int"))
+    folded = folded.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n"))))
     return folded.select("_row.*", *(
-        F.col("_ranks")[k]["_r"].alias(name) for k, name in enumerate(inputs)))
+        F.get("_ranks", F.lit(k) * F.col("_n"))["_r"].alias(name) for k, name in enumerate(inputs)))
 
 
 def wide_terms(

@@ -47,12 +47,16 @@ def _sym(by: list[str]) -> WindowSpec:
 def breakout_signals(df: DataFrame, by: list[str] = []) -> DataFrame:
     """Long above the entry channel until below the exit channel.
 
-    The state is the last decisive row; with channels of earlier rows a row cannot be both.
+    A row that is above one and below the other enters if flat and leaves if held, so the state is that of the last row
+    that decides alone, turned over by each such row since.
     """
-    c = F.col("close")
-    decisive = F.when(c > F.col("entry_channel"), 1).when(c < F.col("exit_channel"), 0)
-    state = F.coalesce(F.last(decisive, ignorenulls=True).over(_past([*by, "vt_symbol"])), F.lit(0))
-    df = df.withColumn("target_position", state)
+    c, past = F.col("close"), _past([*by, "vt_symbol"])
+    above, below = F.coalesce(c > F.col("entry_channel"), F.lit(False)), F.coalesce(c < F.col("exit_channel"), F.lit(False))
+    df = df.withColumn("_turns", F.sum((above & below).cast("int")).over(past))
+    decided = F.when(above & ~below, F.struct(F.lit(1).alias("to"), F.col("_turns").alias("at"))).when(below & ~above, F.struct(F.lit(0).alias("to"), F.col("_turns").alias("at")))
+    last = F.last(decided, ignorenulls=True).over(past)
+    state = (F.coalesce(last["to"], F.lit(0)) + F.col("_turns") - F.coalesce(last["at"], F.lit(0).cast("long"))) % 2
+    df = df.withColumn("target_position", state.cast("int")).drop("_turns")
     before = F.lag("target_position", 1, 0).over(_sym(by))
     return df.withColumns({
         "entry_signal": (F.col("target_position") == 1) & (before == 0),

@@ -415,10 +415,10 @@ def industry_map(sectors: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]
     return found.select("vt_symbol", "industry"), found.where("n > 1")
 
 
-def suspect_drops(bars: DataFrame, threshold: float = -0.15, shown: int = 500) -> DataFrame:
-    """Day returns below the threshold, the first ``shown`` by symbol and date (a report)."""
+def suspect_drops(bars: DataFrame, threshold: float = -0.15) -> DataFrame:
+    """All day returns below the threshold."""
     daily = evaluate(bars, {"ret": A.pct_change(field("close"), 1)}, keep=["close"])
-    return daily.where(F.col("ret") < threshold).orderBy("vt_symbol", "datetime").limit(shown)
+    return daily.where(F.col("ret") < threshold)
 
 
 def leaders_pool(*members: DataFrame) -> DataFrame:

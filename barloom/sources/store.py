@@ -171,7 +171,7 @@ class BarStore:
 
 
 def load_panel(bars: DataFrame, symbols: DataFrame | None, start: str, end: str, extended_days: int = 0) -> DataFrame:
-    """Multi-symbol panel: widened range, vwap, prices over the first close, empty rows blanked."""
+    """Multi-symbol panel: widened range, vwap, prices over the first close, rows whose numbers are all 0 blanked."""
     first = F.date_sub(F.lit(start).cast("date"), extended_days)
     last = F.date_add(F.lit(end).cast("date"), extended_days // 10)
     df = bars.where(F.col("datetime").cast("date").between(first, last))
@@ -184,7 +184,8 @@ def load_panel(bars: DataFrame, symbols: DataFrame | None, start: str, end: str,
     df = df.withColumn("vwap", F.try_divide("turnover", "volume"))
     df = df.withColumns({p: F.try_divide(p, "_base") for p in prices}).drop("_base")
     numeric = [*prices, "volume", "turnover", "vwap"]
-    empty = (F.coalesce("volume", F.lit(0)) == 0) & (F.coalesce("turnover", F.lit(0)) == 0)
+    # a halted bar keeps its prices; only a row without any number is blanked
+    empty = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in numeric[:-1]), F.lit(0.0)) == 0
     return df.withColumns({n: F.when(~empty, F.col(n)) for n in numeric})
 
 

@@ -199,7 +199,7 @@ add("screen_events", lambda spark, sf: present(R.run_screening(*inputs(spark, sf
     + present_sql("ev", ["type", "rebalance_date", "industry"], ["value"]))
 add("suspect_drops", lambda spark, sf: present(R.suspect_drops(bars(spark, sf)), ["vt_symbol", "datetime"], (), ["ret"]),
     f"""WITH {bars_sql()}, r AS (SELECT vt_symbol, datetime, ret FROM (SELECT *, close / lag(close) OVER (PARTITION BY vt_symbol ORDER BY datetime) - 1 AS ret
-  FROM bars) WHERE ret < -0.15 ORDER BY vt_symbol, datetime LIMIT 500) """ + present_sql("r", ["vt_symbol", "datetime"], (), ["ret"]))
+  FROM bars) WHERE ret < -0.15) """ + present_sql("r", ["vt_symbol", "datetime"], (), ["ret"]))
 SECT = ("(SELECT s_suppkey || '.SUP' AS vt_symbol, 'GICS1' || n_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL "
         "SELECT s_suppkey || '.SUP', 'GICS1' || r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey "
         "UNION ALL SELECT s_suppkey || '.SUP', 'SW1' || n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)")

@@ -146,3 +146,13 @@ def test_rank_ic_on_wide_dates(noisy):
     pd.testing.assert_frame_equal(plain, wide)
     expected = pool.toPandas().dropna(subset=["f", "fwd_ret"]).groupby("datetime")[["f", "fwd_ret"]].apply(lambda g: g.f.rank().corr(g.fwd_ret.rank()))
     assert np.allclose(plain.ic, expected.sort_index())
+
+
+def test_repeated_keys_rank_alike_at_every_count_of_ranks(frame):
+    from barloom.operators.evaluate import evaluate
+
+    df = frame("datetime date, vt_symbol string, close double, volume double",
+               [("2024-01-01", "A", 1.0, 4.0), ("2024-01-01", "A", 3.0, 4.0), ("2024-01-01", "B", 2.0, 1.0), ("2024-01-01", "C", 2.0, 2.0), ("2024-01-01", "C", 2.0, 2.0)])
+    terms = {f"r{k}": A.cs_rank(A.field(c) * float(m)) for k, (c, m) in enumerate((("close", 1), ("close", 2), ("volume", 1), ("volume", 3)))}
+    few, many = (sorted(str((r["close"], r["r0"], r["r1"], r["r2"])) for r in evaluate(df, dict(list(terms.items())[:n]), keep=["close"]).collect()) for n in (3, 4))
+    assert few == many and len(many) == 5

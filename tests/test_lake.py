@@ -33,9 +33,9 @@ def test_upsert_keeps_the_newest_row(spark, frame, column):
 
 
 def test_panel_is_normalised_by_the_first_close(frame, column):
-    df = frame(BAR, [bar("A", "2024-01-01", 10.0), bar("A", "2024-01-02", 20.0), bar("A", "2024-01-03", 30.0, 0.0)])
-    out = load_panel(df, None, "2024-01-01", "2024-01-03")
-    assert column(out, "close") == [1.0, 2.0, None]
+    df = frame(BAR, [bar("A", "2024-01-01", 10.0), bar("A", "2024-01-02", 20.0), bar("A", "2024-01-03", 30.0, 0.0), bar("A", "2024-01-04", 0.0, 0.0)])
+    out = load_panel(df, None, "2024-01-01", "2024-01-04")
+    assert column(out, "close") == [1.0, 2.0, 3.0, None]  # halted, then empty
 
 
 def test_versions_are_immutable_and_pinned(spark, frame):
