@@ -7,13 +7,15 @@ in one of the short ones: these are merged in sorted order, and partners found t
 binary search in their sorted sets until the required overlap is reached or out of reach.
 
 Lists are merged twice, so that groups of near copies never give all their pairs. First each document meets its
-neighbour in every list and the list's head; links found so are closed to classes. Then only documents of different
+neighbour in every list and the list's head of about its size, which is the document whose shingles are commonest: of near
+copies that with the fewest edits, so what links with any other links with it as a rule. Links found so are closed to classes. Then only documents of different
 classes are still to be compared, which finds every remaining link between classes. Pairs are first held against
 counts of their shingles by bucket, whose smaller ones add up to no less than the overlap; sets are fetched for the rest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +107,7 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, short, marks) of rows (doc_id, text): set size, two fingerprints of the set, hashes of its short lists in order, counts by bucket."""
+    """(doc_id, n, f1, f2, short, marks, common) of rows (doc_id, text): set size, two fingerprints of the set, hashes of its short lists in order, counts by bucket, mean log count of its shingles."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         texts = plain(batch.column(1))
@@ -121,7 +123,7 @@ def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
             for i, j in slices(texts):
                 codes, cuts = shingle_sets(texts[i:j], width)
                 count = often[(codes & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                n, f1, f2, short, marks = np.diff(cuts), [], [], [], []
+                n, f1, f2, short, marks, common = np.diff(cuts), [], [], [], [], []
                 again = mixed(codes ^ np.uint64(0xA24BAED4963EE407))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     f1.append(int(codes[a:b].sum(dtype=np.uint64).view(np.int64)))
@@ -130,12 +132,13 @@ def prefixes(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     order = np.argsort(count[a:b], kind="stable")[:first]  # equal counts keep the order of hashes
                     short.append(codes[a:b][order].view(np.int64))
                     counts = np.bincount((codes[a:b] >> np.uint64(40)).astype(np.int64) % MARKS, minlength=MARKS) if b - a <= MARKED else None
+                    common.append(float(np.log1p(count[a:b]).mean()) if b > a else 0.0)
                     marks.append(counts.astype(np.uint8).tobytes() if counts is not None and counts.max() < 256 else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "short", "marks"])
+                    [batch.column(0)[i:j], pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(common, pa.float64())],
+                    names=["doc_id", "n", "f1", "f2", "short", "marks", "common"])
 
-    return rows.mapInArrow(search, "doc_id long, n long, f1 long, f2 long, short array<long>, marks binary")
+    return rows.mapInArrow(search, "doc_id long, n long, f1 long, f2 long, short array<long>, marks binary, common double")
 
 
 def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -248,15 +251,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     each = materialise(prefixes(rows, width, percent), "prefixes")
     same = ["f1", "f2", "n"]
     # one class for each distinct set
-    sets = each.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.any_value("short").alias("short"), F.any_value("marks").alias("marks"))
+    sets = each.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.any_value("short").alias("short"), F.any_value("marks").alias("marks"), F.any_value("common").alias("common"))
     classes = materialise(sets, "classes")
-    lists = classes.select("id", "n", F.posexplode("short").alias("place", "code"))
+    lists = classes.select("id", "n", "common", F.posexplode("short").alias("place", "code"))
     order = Window.partitionBy("code").orderBy("n", "id")
-    head = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # sizes that could link lie in one such range or in two next to each other
+    size_range = F.floor(F.log("n") / F.lit(max(math.log(100 / percent), 1e-9)))
+    central = Window.partitionBy("code", "size_range").orderBy(F.desc("common"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.struct("id", "n", "place")
     # lists of one entry bring nobody together
-    merged = lists.select("code", "id", "n", "place", F.lag(own).over(order).alias("before"), F.first(own).over(head).alias("head"), F.lead("id").over(order).alias("after"))
-    lists = materialise(merged.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "lists")
+    merged = lists.select("*", size_range.alias("size_range"), F.lag(own).over(order).alias("before"), F.lead("id").over(order).alias("after"))
+    merged = merged.where("before IS NOT NULL OR after IS NOT NULL").withColumn("head", F.first(own).over(central))
+    lists = materialise(merged.select("code", "id", "n", "place", "before", "head"), "lists")
 
     def reachable(x: str, y: str) -> Column:
         """Whether the sizes allow a link, and what follows the common shingle in both sets is enough for it."""
@@ -270,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-    near = lists.where("before IS NOT NULL").select(own.alias("x"), F.explode(F.array("before", "head")).alias("y"))
+    near = lists.select(own.alias("x"), F.explode(F.filter(F.array("before", "head"), lambda y: y.isNotNull())).alias("y"))
     first = materialise(plausible(ordered(near.where(reachable("x", "y"))), classes, percent), "pairs")
     links = materialise(probe(first, sets_of(rows, ends(first), width), percent), "links")
     classed = materialise(components(links), "classed")
