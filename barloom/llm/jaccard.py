@@ -289,7 +289,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     across = x.join(y, "code").where(F.col("xown") < F.col("yown")).where(reachable("x", "y"))
     second = materialise(plausible(ordered(across).join(first, ["a", "b"], "left_anti"), classes, percent), "pairs")
     if not second.isEmpty():
-        classed = components(links.unionByName(probe(second, sets_of(rows, ends(second), width), percent)))
+        more = probe(second, sets_of(rows, ends(second), width), percent)
+        # only classes are still to be joined, and documents without a link so far
+        for end in "ab":
+            of = classed.select(F.col("id").alias(end), F.col("component").alias("own"))
+            more = more.join(of, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+        closed = components(more)
+        tops = closed.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        alone = closed.join(classed, "id", "left_anti")
+        classed = classed.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
     nodes = classes.select(*same, "id").join(classed, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     alone = each.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
