@@ -21,13 +21,18 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "email": (r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}+", r"(?<![A-Za-z0-9._%+-])", r"(?![A-Za-z0-9@])"),
     "access_key": (r"AKIA[A-Z0-9]{16}", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
-    "secret": (r"(?:password|passwd|token|secret|key) ?= ?\"?[0-9a-f]{16,64}+", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
+    "secret": (r"(?i:password|passwd|token|secret|key) ?= ?\"?[0-9a-fA-F]{16,}+", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
     "date": (r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})", r"(?<![\d./-])", r"(?![./-]?\d)"),
     "ssn": (r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", r"(?<![\d-])", r"(?![\d-])"),
     "ip": (rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?<![\d.])", r"(?!\.?\d)"),
     "phone": (r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", r"(?<![\w+.-])", r"(?![.-]?\d)"),
-    "card": (r"\d(?:[ -]?\d){12,18}", r"(?<![\d.-])", r"(?![ -]?\d)"),
 }
+#: Cards are looked for in whole runs of digit groups, because a neighbouring number may belong to the run; a run ends before a value of another kind.
+_OTHERS = "|".join("".join((KINDS[k][1], KINDS[k][0], KINDS[k][2])) for k in ("date", "ssn", "ip", "phone"))
+KINDS["card"] = (rf"(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHERS})\d++)*+", r"(?<!\d)", "")
+#: Groups as cards are written: one number, fours with a shorter end, 4-6-5 and 4-6-4; how many groups, in order of preference.
+CARD_FORM = r"^[ -]?(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4}|\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+CARD_SIZES = (1, 4, 3, 5)
 ANY = "|".join(f"{before}{pattern}{after}" for pattern, before, after in KINDS.values())
 
 
@@ -92,14 +97,49 @@ def refilled(shape: Column, digits: Column) -> Column:
                        .otherwise(F.struct(F.concat(have["text"], c).alias("text"), have["at"].alias("at"))))["text"]
 
 
+def luhn_valid(value: Column) -> Column:
+    digits = F.regexp_replace(value, r"[ -]", "")
+    return (luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) + F.substr(digits, F.length(digits)).cast("int")) % 10 == 0
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _card(value: Column, key: str) -> Column:
     digits = F.regexp_replace(value, r"[ -]", "")
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
     n, m = F.floor(F.length(body) / 2).cast("int"), F.ceil(F.length(body) / 2).cast("int")
     fresh = number_feistel(F.substr(body, F.lit(1), n), F.substr(body, n + 1), F.pow(F.lit(10), n).cast("long"), F.pow(F.lit(10), m).cast("long"), key, "card")
     new = F.concat(F.lpad(fresh["l"].cast("string"), n, F.lit("0")), F.lpad(fresh["r"].cast("string"), m, F.lit("0")))
-    valid = (luhn_sum(body) + F.substr(digits, F.length(digits)).cast("int")) % 10 == 0
-    return F.when(valid, refilled(value, F.concat(new, F.pmod(-luhn_sum(new), F.lit(10)).cast("string"))))
+    return refilled(value, F.concat(new, F.pmod(-luhn_sum(new), F.lit(10)).cast("string")))
+
+
+def _cards(run: Column, key: str) -> Column:
+    """Struct (text, n): a run of digit groups with its n valid cards replaced, null without any.
+
+    Groups that have the form of a card are taken from the left; a run without such a card is tried as one number in a form of its own.
+    """
+
+    def replaced(groups: Column) -> Column:
+        def piece(at: Column, size: Column) -> Column:
+            return F.array_join(F.slice(groups, at, size), "")
+
+        def step(have: Column, at: Column) -> Column:
+            fits = F.filter(F.array(*map(F.lit, CARD_SIZES)), lambda k: piece(at, k).rlike(CARD_FORM) & luhn_valid(piece(at, k)))
+            grown = once(F.coalesce(F.get(fits, F.lit(0)), F.lit(0)), lambda k: F.when(k > 0, F.struct(
+                F.concat(have["text"], once(piece(at, k), lambda v: _card(v, key))).alias("text"), (have["n"] + 1).alias("n"), (at + k).alias("next")))
+                .otherwise(F.struct(F.concat(have["text"], F.get(groups, at - 1)).alias("text"), have["n"].alias("n"), (at + 1).alias("next"))))
+            return F.when(at < have["next"], have).otherwise(grown)
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+
+    formed = once(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), replaced)
+    whole = F.length(F.regexp_replace(run, r"[ -]", "")).between(13, 19) & luhn_valid(run)
+    return once(formed, lambda r: F.when(r["n"] > 0, F.struct(r["text"].alias("text"), r["n"].alias("n")))
+                .when(whole, F.struct(_card(run, key).alias("text"), F.lit(1).alias("n"))))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -146,19 +186,21 @@ def _email(value: Column, key: str) -> Column:
 
 
 PSEUDONYMS: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card,
+    "email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone,
     "access_key": lambda v, key: F.concat(F.lit("AKIA"), text_feistel(F.substr(v, F.lit(5)), key, "access_key")),
-    "secret": lambda v, key: F.concat(F.regexp_extract(v, "^[a-z]+ ?= ?\"?", 0), text_feistel(F.regexp_extract(v, "[0-9a-f]+$", 0), key, "secret", 6)),
+    "secret": lambda v, key: F.concat(F.regexp_extract(v, "^[A-Za-z]+ ?= ?\"?", 0), text_feistel(F.regexp_extract(v, "[0-9a-fA-F]+$", 0), key, "secret", 6)),
 }
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """Struct (kind, text): the first kind whose pattern and validation hold; kind null and text unchanged if none does."""
-    none = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"))
+    """Struct (kind, text, n): the first kind whose pattern and validation hold, and how many values; kind null and text unchanged if none does."""
+    none = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"), F.lit(0).alias("n"))
     out = []
     for kind, make in PSEUDONYMS.items():
         new = make(value, key)
-        out.append(F.when(value.rlike(f"^(?:{KINDS[kind][0]})$"), F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text")))))
+        out.append(F.when(value.rlike(f"^(?:{KINDS[kind][0]})$"), F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text"), F.lit(1).alias("n")))))
+    cards = F.when(value.rlike(f"^(?:{KINDS['card'][0]})$"), once(_cards(value, key), lambda c: F.when(c.isNotNull(), F.struct(F.lit("card").alias("kind"), c["text"].alias("text"), c["n"].alias("n")))))
+    out.append(cards)
     return F.coalesce(*out, none)
 
 
@@ -176,8 +218,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     fresh = found.withColumn("fresh", F.transform("found", lambda v: pseudonym(v, key)))
     joined = F.flatten(F.zip_with(F.split("text", ANY, -1), "fresh", lambda part, new: F.array(part, F.coalesce(new["text"], F.lit("")))))
     done = fresh.withColumn("done", F.when(F.size("found") > 0, F.array_join(joined, "")).otherwise(F.col("text")))
-    named = F.transform("fresh", lambda x: x["kind"])
-    kinds = [F.greatest(F.coalesce(F.size(named) - F.size(F.array_remove(F.array_compact(named), k)) - F.size(F.filter(named, F.isnull)), F.lit(0)), F.lit(0)).alias(c)
+    kinds = [F.coalesce(F.aggregate("fresh", F.lit(0), lambda n, x: n + F.when(x["kind"] == k, x["n"]).otherwise(0)), F.lit(0)).alias(c)
              for k, c in zip(KINDS, counts, strict=True)]
     out = done.select(*[F.col("done").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names], *kinds)
     return out.withColumn("n_found", sum((F.col(c) for c in counts[1:]), F.col(counts[0])))

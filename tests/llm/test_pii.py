@@ -81,3 +81,36 @@ def test_key_and_texts(spark, docs, raw, none):
     have = sorted((str((r["doc_id"], r["text"])) for r in got.where("n_found = 0").collect()))
     assert have == sorted(str((r[0], r[1])) for r in raw)
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
+
+
+CARD, AMEX = "4173893178530722", "3782-822463-10005"
+NEXT_TO = [
+    (f"{CARD} {CARD}", 2), (f"{CARD} 12/27", 1), (f"3 {CARD}", 1), (f"{CARD} 2024", 1), (f"No.{CARD}", 1), (f"card-{CARD}", 1), ("7 4111 1111 1111 1111 123", 1),
+    ("5501 4111 1111 1111 1111", 1), (f"{AMEX} {CARD}", 2), (f"{CARD} 123-45-6789", 1), ("41 1111 1111 11 1111", 1), (f"{CARD}-{AMEX}, 4111-1111-1111-1111", 3)]
+
+
+def test_cards_beside_other_numbers(spark):
+    df = spark.createDataFrame([(k, f"x {v} y") for k, (v, _) in enumerate(NEXT_TO)] + [(99, f"x {CARD} y")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    new = got[99]["text"][2:-2]
+    for k, (value, n) in enumerate(NEXT_TO):
+        r = got[k]
+        assert r["n_card"] == n and shape(r["text"]) == shape(f"x {value} y"), value
+        assert r["text"].count(new) == value.count(CARD) and CARD not in r["text"] and AMEX not in r["text"], value
+    assert got[9]["n_ssn"] == 1 and got[7]["text"].startswith("x 5501 ") and got[2]["text"].startswith("x 3 ")
+
+
+def test_long_run_of_numbers(spark):
+    text = " ".join(["12"] * 3000 + [CARD])
+    r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r["n_card"] == 1 and r["text"].startswith("12 12 ") and CARD not in r["text"]
+
+
+def test_secrets_in_any_case_and_length(spark):
+    hexes = ["97ffa88d7c5f5655e365", "97FFA88D7C5F5655E365", "97ffA88d7C5f5655e365", "0123456789abcdef" * 9]
+    rows = [f'see {word}{hex_} now' for hex_ in hexes for word in ("password=", 'TOKEN = "', "Secret =", "KEY= ")]
+    for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").collect():
+        was = rows[r["doc_id"]]
+        assert r["n_secret"] == r["n_found"] == 1 and shape(r["text"]) == shape(was), was
+        cut = was.index("=") + 1
+        assert r["text"][:cut] == was[:cut] and r["text"] != was and re.fullmatch(' ?"?[0-9a-fA-F]+ now', r["text"][cut:])
