@@ -1,13 +1,17 @@
 """Bars from ticks: the same definition for batch tables and for streams.
 
-Batch: deltas by ``lag``, then grouped windows. Stream: a small per-symbol state keeps the last
-tick, so that cumulative volumes become deltas across micro-batches; the deltas then run through
-watermarked event-time windows.
+Batch: deltas by ``lag``, then grouped windows. Stream: a per-symbol state holds ticks until the
+watermark has passed them and releases them in order, so that results do not depend on how
+micro-batches are cut; it keeps the last tick and, for bars, the open bar.
+
+Ticks of one symbol are ordered by time, then by ``sequence`` if there is such a column, then by
+their cumulative fields, day extremes and price.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,12 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds)
 
 
+def _order(ticks: DataFrame) -> Column:
+    """Order of ticks within a symbol; equal ones are equal in every field that bars read."""
+    sequence = [F.col("sequence").cast("long").alias("sequence")] if "sequence" in ticks.columns else []
+    return F.struct(F.col("datetime").alias("datetime"), *sequence, "volume", "turnover", "high_price", (-F.col("low_price")).alias("low_price"), "last_price")
+
+
 def tick_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     """Positive increments of the cumulative fields and newly reached day extremes (batch).
 
@@ -31,12 +41,12 @@ def tick_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     reached by that tick does not count.
     """
     # a busy instrument is split by day; the last tick of the day before is one row per day
-    t = ticks.where(F.col("last_price") > 0).withColumn("_d", F.col("datetime").cast("date"))
+    t = ticks.where(F.col("last_price") > 0).withColumn("_d", F.col("datetime").cast("date")).withColumn("_at", _order(ticks))
     state = F.struct("datetime", "volume", "turnover", "high_price", "low_price")
-    ends = t.groupBy("vt_symbol", "_d").agg(F.max_by(state, "datetime").alias("_end"))
+    ends = t.groupBy("vt_symbol", "_d").agg(F.max_by(state, "_at").alias("_end"))
     carry = ends.select("vt_symbol", "_d", F.lag("_end").over(
         Window.partitionBy("vt_symbol").orderBy("_d")).alias("_carry"))
-    inside = Window.partitionBy("vt_symbol", "_d").orderBy("datetime")
+    inside = Window.partitionBy("vt_symbol", "_d").orderBy("_at")
     t = t.join(carry, ["vt_symbol", "_d"]).withColumn("_p", F.coalesce(F.lag(state).over(inside), F.col("_carry")))
 
     def rise(x: str) -> Column:
@@ -48,14 +58,14 @@ def tick_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
         "vt_symbol", F.col("datetime").cast("timestamp").alias("datetime"), "last_price",
         rise("volume").alias("d_volume"), rise("turnover").alias("d_turnover"),
         F.when(same & (high > F.col("_p")["high_price"]), high).alias("new_high"),
-        F.when(same & (low < F.col("_p")["low_price"]), low).alias("new_low"))
+        F.when(same & (low < F.col("_p")["low_price"]), low).alias("new_low"), "_at")
 
 
 def bars_from_deltas(deltas: DataFrame, length: str = "1 minute") -> DataFrame:
-    p = F.col("last_price")
+    p, at = F.col("last_price"), "_at" if "_at" in deltas.columns else "datetime"
     return deltas.groupBy(F.window("datetime", length).alias("w"), "vt_symbol").agg(
-        F.min_by(p, "datetime").alias("open"), F.max(F.greatest(p, F.coalesce("new_high", p))).alias("high"),
-        F.min(F.least(p, F.coalesce("new_low", p))).alias("low"), F.max_by(p, "datetime").alias("close"),
+        F.min_by(p, at).alias("open"), F.max(F.greatest(p, F.coalesce("new_high", p))).alias("high"),
+        F.min(F.least(p, F.coalesce("new_low", p))).alias("low"), F.max_by(p, at).alias("close"),
         F.sum("d_volume").alias("volume"), F.sum("d_turnover").alias("turnover"),
     ).select("vt_symbol", F.col("w.start").alias("datetime"), "open", "high", "low", "close", "volume", "turnover")
 
@@ -64,41 +74,65 @@ def tick_bars(ticks: DataFrame, seconds: int = 60) -> DataFrame:
     return bars_from_deltas(tick_deltas(ticks, seconds), f"{seconds} seconds")
 
 
-def stream_deltas(ticks: DataFrame, seconds: int = 60) -> DataFrame:
-    """``tick_deltas`` on a stream: state per symbol is the last tick's cumulative fields.
+def _rise(now: float | None, before: float | None) -> float:
+    return max(now - before, 0.0) if now is not None and before is not None else 0.0
+
+
+def _released(ticks: DataFrame, seconds: int, watermark: str, schema: str, take: Callable, close: Callable, due: Callable) -> DataFrame:
+    """Ticks in order, each once the watermark has passed it, turned into rows by ``take``.
 
-    Bound the micro-batch at the source: a symbol's rows of one batch are ordered in its state task.
-    Within a micro-batch rows are put in event-time order; a tick not later than the symbol's
-    last one is late and dropped.
+    ``take(memory, us, price, d_volume, d_turnover, new_high, new_low)`` and, after the released ticks, ``close(memory, us of the
+    watermark)`` give rows; ``due(memory, us of the first held tick)`` is the time in us at which something is next to be done. A symbol's memory is JSON text.
     """
-    state = "ts double, volume double, turnover double, high double, low double"
+    size = seconds * 1_000_000
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        last = list(st.get) if st.exists else None
-        rows = pd.concat(list(frames)).sort_values("datetime")
-        out = []
-        for r in rows.itertuples(index=False):
-            at = r.datetime.timestamp()
-            if last is not None and at <= last[0]:
-                continue
-            before = last or [None, r.volume, r.turnover, None, None]
-            same = last is not None and at // seconds == last[0] // seconds
-            out.append((key[0], r.datetime, r.last_price,
-                        max((r.volume or 0.0) - (before[1] or 0.0), 0.0), max((r.turnover or 0.0) - (before[2] or 0.0), 0.0),
-                        r.high_price if same and r.high_price > before[3] else None,
-                        r.low_price if same and r.low_price < before[4] else None))
-            last = [at, r.volume, r.turnover, r.high_price, r.low_price]
-        if last is not None:
-            st.update(tuple(last))
-        names = [c.split(" ")[0] for c in DELTA_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
+        have = json.loads(st.get[0]) if st.exists else {"last": None, "held": [], "done": None, "memory": {}}
+        passed = st.getCurrentWatermarkMs()
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if have["done"] is None or r.us > have["done"]:
+                    have["held"].append([int(r.us), *(None if pd.isna(x) else x for x in (r.sequence, r.volume, r.turnover, r.high_price, r.low_price, r.last_price))])
+        held = sorted(have["held"], key=lambda t: [(x is not None, -x if k == 5 and x is not None else x or 0) for k, x in enumerate(t)])
+        ready = sum(t[0] <= passed * 1000 for t in held)
+        out, last = [], have["last"]
+        for t in held[:ready]:
+            us, _, volume, turnover, high, low, price = t
+            same = last is not None and us // size == last[0] // size
+            before = last or [None] * 7
+            out += take(have["memory"], us, price, _rise(volume, before[2]), _rise(turnover, before[3]),
+                        high if same and None not in (high, before[4]) and high > before[4] else None,
+                        low if same and None not in (low, before[5]) and low < before[5] else None)
+            last = t
+        out += close(have["memory"], passed * 1000)
+        have |= {"last": last, "held": held[ready:], "done": max(passed * 1000, have["done"] or 0)}
+        st.update((json.dumps(have),))
+        at = due(have["memory"], held[ready][0] if ready < len(held) else None)
+        if at is not None:  # a timer fires when the watermark is past it
+            st.setTimeoutTimestamp(max(-(-at // 1000) - 1, passed, 1))
+        frame = pd.DataFrame([(key[0], *row) for row in out], columns=names)
         for c in names[2:]:
             frame[c] = frame[c].astype("float64")
+        frame[names[1]] = frame[names[1]].astype("int64")
         yield frame
 
+    sequence = F.col("sequence").cast("long") if "sequence" in ticks.columns else F.lit(None).cast("long")
     t = ticks.where(F.col("last_price") > 0).select(
-        "vt_symbol", F.col("datetime").cast("timestamp").alias("datetime"), *(F.col(c).cast("double") for c in TICK_COLUMNS))
-    return t.groupBy("vt_symbol").applyInPandasWithState(step, DELTA_SCHEMA, state, "append", "NoTimeout")
+        "vt_symbol", F.col("datetime").cast("timestamp").alias("datetime"), sequence.alias("sequence"), *(F.col(c).cast("double") for c in TICK_COLUMNS))
+    t = t.withWatermark("datetime", watermark).withColumn("us", F.unix_micros("datetime"))
+    out = t.groupBy("vt_symbol").applyInPandasWithState(step, schema, "state string", "append", "EventTimeTimeout")
+    return out.select("vt_symbol", F.timestamp_micros("us").alias("datetime"), *names[2:])
+
+
+def stream_deltas(ticks: DataFrame, seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
+    """``tick_deltas`` on a stream: ticks are released in order once the watermark has passed them.
+
+    Ticks late by less than the watermark and ticks of equal time are kept. Bound the micro-batch at the
+    source: a symbol's rows of one batch are ordered in its state task.
+    """
+    return _released(ticks, seconds, watermark, DELTA_SCHEMA.replace("datetime timestamp", "us long"),
+                     lambda memory, *row: [row], lambda memory, us: [], lambda memory, first: first)
 
 
 def window_bars(bars: DataFrame, length: str) -> DataFrame:
@@ -146,8 +180,26 @@ def day_bars(bars: DataFrame, daily_end: str = "15:00:00", flush: bool = False)
 
 
 def streaming_bars(ticks: DataFrame, seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
-    """Bars of a tick stream; rows later than the watermark are dropped."""
-    return bars_from_deltas(stream_deltas(ticks, seconds).withWatermark("datetime", watermark), f"{seconds} seconds")
+    """Bars of a tick stream, each once the watermark has passed its end; rows later than the watermark are dropped."""
+    size = seconds * 1_000_000
+
+    def take(memory: dict, us: int, price: float, volume: float, turnover: float, high: float | None, low: float | None) -> list[tuple]:
+        done = close(memory, us)
+        bar = memory.get("bar") or [us // size * size, price, price, price, price, 0.0, 0.0]
+        memory["bar"] = [bar[0], bar[1], max(bar[2], price, price if high is None else high), min(bar[3], price, price if low is None else low),
+                         price, bar[5] + volume, bar[6] + turnover]
+        return done
+
+    def close(memory: dict, us: int) -> list[tuple]:
+        ended = memory.get("bar") is not None and memory["bar"][0] + size <= us
+        return [tuple(memory.pop("bar"))] if ended else []
+
+    def due(memory: dict, first: int | None) -> int | None:
+        start = memory["bar"][0] if memory.get("bar") else None if first is None else first // size * size
+        return None if start is None else start + size
+
+    return _released(ticks, seconds, watermark, "vt_symbol string, us long, open double, high double, low double, close double, volume double, turnover double",
+                     take, close, due)
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, partition: list[str] | None = None, mode: str = "append"):

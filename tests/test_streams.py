@@ -54,6 +54,21 @@ def test_late_ticks_are_dropped(spark, base):
     assert after.where("high >= 99").count() == 0 and after.count() == before
 
 
+def test_ties_and_late_ticks_within_the_watermark(spark, base):
+    rows = ticks()
+    ties = [(s, t, p + 3.5, v + 1.0, n + 10.0, h + 0.5, w - 0.5) for s, t, p, v, n, h, w in rows[5:80:4]]
+    rows = rows + ties
+    order = sorted(rows, key=lambda r: (r[1] + pd.Timedelta(seconds=hash(r[2:4]) % 50), r[3]))
+    for k in range(4):  # in every file ticks are late by up to 50 seconds, and ties are in one file or in two
+        spark.createDataFrame(order[k * len(order) // 4:(k + 1) * len(order) // 4], DDL).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    got = drained(spark, f"{base}/in", f"{base}/c", f"{base}/out").toPandas()
+    last = max(r[1] for r in rows) - pd.Timedelta(minutes=1)
+    want = Z.tick_bars(spark.createDataFrame(rows, DDL)).where(F.col("datetime") + F.expr("INTERVAL 1 MINUTE") <= F.lit(last)).toPandas()
+    keys = ["vt_symbol", "datetime"]
+    assert len(want) > 10
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), check_dtype=False)
+
+
 def test_sessions_end_with_their_closing_bar(spark):
     rows = [("A", t, 1.0, 1.0, 1.0, float(i), 1.0, 1.0) for i, t in enumerate(map(datetime.fromisoformat, (
         "2024-01-05 14:59:00", "2024-01-05 21:00:00", "2024-01-08 14:59:00", "2024-01-08 21:00:00")))]
