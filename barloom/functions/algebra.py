@@ -20,6 +20,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 ROW, SYMBOL, DATE, MACRO = "row", "symbol", "date", "macro"
 ORDINAL = "_i"
+#: Per-date operators that wide dates compute over value ranges instead of a grouped form.
+RANKS = ("cs_rank", "cs_rank_raw")
 
 
 class Windows:
@@ -57,6 +59,7 @@ class Operator:
     build: Callable[..., Any]
     span: Callable[..., tuple[int, int] | None]
     ordinal: bool = False
+    grouped: Callable[..., Column] | None = None
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -193,13 +196,20 @@ def register(
     build: Callable[..., Any],
     span: Callable[..., tuple[int, int] | None] = _still,
     ordinal: bool = False,
+    grouped: Callable[..., Column] | None = None,
 ) -> Callable[..., Factor]:
     """Register an operator; ``build(windows, *columns, *params)`` returns a Column.
 
     ``span(*params)`` is the number of rows the operator looks back and ahead within the
     instrument (None for the whole history), which lets long histories be cut into pieces.
+
+    A per-date operator needs ``grouped(*columns, *params)``, the aggregate of a date that ``build`` lays over
+    the date's rows; dates too wide for a window are grouped by it. What needs the row itself as well
+    is a macro over such operators.
     """
-    OPERATORS[name] = Operator(name, kind, arity, build, span, ordinal)
+    if kind == DATE and grouped is None and name not in RANKS:
+        raise ValueError(f"per-date operator {name} needs a grouped form for wide dates")
+    OPERATORS[name] = Operator(name, kind, arity, build, span, ordinal, grouped)
 
     def apply(*values: Any) -> Factor:
         return call(name, *values)
@@ -209,7 +219,7 @@ def register(
 
 
 def register_functions(table: dict[str, dict[str, Any]]) -> None:
-    """Register several user operators at once: ``{name: {kind, arity, build, span}}``."""
+    """Register several user operators at once: ``{name: {kind, arity, build, span, grouped}}``."""
     for name, spec in table.items():
         register(name, **spec)
 
@@ -376,12 +386,14 @@ def _cs_rank(w: Windows, x: Column, rounded: bool = True) -> Column:
 cs_rank = register("cs_rank", DATE, 1, _cs_rank)
 # the same without rounding, for correlations of ranks where single ties do not matter
 cs_rank_raw = register("cs_rank_raw", DATE, 1, lambda w, x: _cs_rank(w, x, False))
-cs_count = register("cs_count", DATE, 1, lambda w, x: F.count(x).over(w.day).cast("double"))
-cs_mean = register("cs_mean", DATE, 1, lambda w, x: F.avg(x).over(w.day))
-cs_std = register("cs_std", DATE, 1, lambda w, x: F.stddev_samp(x).over(w.day))
-cs_sum = register("cs_sum", DATE, 1, lambda w, x: F.coalesce(F.sum(x).over(w.day), F.lit(0.0)))
-cs_median = register("cs_median", DATE, 1, lambda w, x: F.median(x).over(w.day))
-cs_rows = register("cs_rows", DATE, 0, lambda w: F.count(F.lit(1)).over(w.day).cast("double"))
+cs_count = register("cs_count", DATE, 1, lambda w, x: F.count(x).over(w.day).cast("double"), grouped=lambda x: F.count(x).cast("double"))
+cs_mean = register("cs_mean", DATE, 1, lambda w, x: F.avg(x).over(w.day), grouped=lambda x: F.avg(x))
+cs_std = register("cs_std", DATE, 1, lambda w, x: F.stddev_samp(x).over(w.day), grouped=lambda x: F.stddev_samp(x))
+cs_sum = register("cs_sum", DATE, 1, lambda w, x: F.coalesce(F.sum(x).over(w.day), F.lit(0.0)),
+                  grouped=lambda x: F.coalesce(F.sum(x), F.lit(0.0)))
+cs_median = register("cs_median", DATE, 1, lambda w, x: F.median(x).over(w.day), grouped=lambda x: F.median(x))
+cs_rows = register("cs_rows", DATE, 0, lambda w: F.count(F.lit(1)).over(w.day).cast("double"),
+                   grouped=lambda: F.count(F.lit(1)).cast("double"))
 
 
 def cs_scale(x: Any) -> Factor:

@@ -12,18 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.algebra import steady
+from barloom.functions.algebra import OPERATORS, RANKS, steady
 from barloom.session import materialise
 
-_AGGREGATES = {
-    "cs_mean": lambda x: F.avg(x),
-    "cs_std": lambda x: F.stddev_samp(x),
-    "cs_sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)),
-    "cs_count": lambda x: F.count(x).cast("double"),
-    "cs_median": lambda x: F.median(x),
-    "cs_rows": lambda: F.count(F.lit(1)).cast("double"),
-}
-
 
 def exact_rank(df: DataFrame, value: str, by: list[str], rows_per_range: int, widest: int) -> DataFrame:
     """Average-tie rank of every distinct value: columns ``by``, value, ``rank``.
@@ -74,14 +65,11 @@ def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str)
 
 
 def wide_terms(
-    df: DataFrame, todo: dict[str, tuple[str, list[Column]]], symbol: str, time: str, rows_per_range: int
+    df: DataFrame, todo: dict[str, tuple[str, list]], symbol: str, time: str, rows_per_range: int
 ) -> DataFrame:
-    """Add one column per entry of ``todo`` (name -> per-date operator and its inputs)."""
-    plain = {name: spec for name, spec in todo.items() if spec[0] in _AGGREGATES}
-    ranks = {name: spec for name, spec in todo.items() if spec[0] in ("cs_rank", "cs_rank_raw")}
-    unknown = set(todo) - set(plain) - set(ranks)
-    if unknown:
-        raise ValueError(f"no wide-date form for {sorted(unknown)}")
+    """Add one column per entry of ``todo`` (name -> per-date operator, its inputs and parameters)."""
+    ranks = {name: spec for name, spec in todo.items() if spec[0] in RANKS}
+    plain = {name: spec for name, spec in todo.items() if name not in ranks}
     frame = df
     for name, (op, args) in ranks.items():
         frame = frame.withColumn(f"{name}_v", steady(args[0]) if op == "cs_rank" else args[0])
@@ -89,7 +77,7 @@ def wide_terms(
     result = frame
     if plain:
         totals = frame.groupBy(time).agg(
-            *(_AGGREGATES[op](*args).alias(name) for name, (op, args) in plain.items()))
+            *(OPERATORS[op].grouped(*args).alias(name) for name, (op, args) in plain.items()))
         result = result.join(totals, time, "left")
     if ranks:
         widest = frame.groupBy(time).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1

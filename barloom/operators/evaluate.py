@@ -254,7 +254,7 @@ def evaluate(
         names = [layers.name[id(n)] for n in new]
         ranks = [n for n in new if n.op == "cs_rank"]
         if wide and dated and key[2] == 0:
-            todo = {layers.name[id(n)]: (n.op, [_column(a, layers, w, False) for a in n.args]) for n in new}
+            todo = {layers.name[id(n)]: (n.op, [*(_column(a, layers, w, False) for a in n.args), *n.params]) for n in new}
             columns = trimmed(at + 1, []) + names
             frame = wide_terms(frame, todo, symbol, time, wide_date).select(*columns)
         elif len(ranks) >= MANY_RANKS:

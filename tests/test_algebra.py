@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.functions import algebra as A
 from barloom.functions import indicators as K
@@ -156,3 +157,12 @@ def test_repeated_keys_rank_alike_at_every_count_of_ranks(frame):
     terms = {f"r{k}": A.cs_rank(A.field(c) * float(m)) for k, (c, m) in enumerate((("close", 1), ("close", 2), ("volume", 1), ("volume", 3)))}
     few, many = (sorted(str((r["close"], r["r0"], r["r1"], r["r2"])) for r in evaluate(df, dict(list(terms.items())[:n]), keep=["close"]).collect()) for n in (3, 4))
     assert few == many and len(many) == 5
+
+
+def test_user_operator_per_date_on_both_paths(noisy):
+    with pytest.raises(ValueError, match="grouped"):
+        A.register("cs_no_form", A.DATE, 1, lambda w, x: F.max(x).over(w.day))
+    assert "cs_no_form" not in A.OPERATORS
+    A.register_functions({"cs_top_share": {"kind": A.DATE, "arity": 1, "build": lambda w, x, k: F.max(x).over(w.day) / k, "grouped": lambda x, k: F.max(x) / k}})
+    terms = {"u": A.call("cs_top_share", x, 4.0), "v": A.ts_mean(A.call("cs_top_share", A.cs_rank(x), 2.0), 3), "m": A.cs_mean(x)}
+    same(evaluate(noisy, terms, keep=[]), evaluate(noisy, terms, keep=[], wide_date=3))
