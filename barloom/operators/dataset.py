@@ -128,3 +128,10 @@ def factor_analysis(panel: DataFrame, signal: DataFrame, name: str, quantiles: i
     with_returns = forward_returns(joined)
     spec = Window.partitionBy("datetime").orderBy(name, "vt_symbol")
     return with_returns.withColumn("quantile", F.ntile(quantiles).over(spec))
+
+
+def pivot_map(df: DataFrame, time: str, symbol: str, value: str) -> DataFrame:
+    """One row a date with a map from every symbol of the date to its value; a repeated key keeps its largest value."""
+    cells = df.where(F.col(symbol).isNotNull()).groupBy(time, symbol).agg(F.max(value).alias("_v"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(symbol).alias("key"), F.col("_v").alias("value"))))
+    return cells.groupBy(time).agg(F.map_from_entries(entries).alias(value))

@@ -320,6 +320,19 @@ def calendar(spark, sf):
     return bars(spark, sf).select(F.col("datetime").alias("trade_date"))
 
 
+def busy_weeks(spark, sf):
+    """Weeks in which all symbols together trade a twentieth above the mean week, as a selection."""
+    weeks = bars(spark, sf, "week").groupBy("datetime").agg(F.sum("volume").alias("v"))
+    return weeks.crossJoin(weeks.agg(F.avg("v").alias("m"))).where(F.col("v") > F.col("m") * 1.05).select(F.col("datetime").alias("rebalance_date"))
+
+
+BUSY_SQL = f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, wv AS (SELECT datetime, sum(volume) AS v FROM wk GROUP BY 1), s AS (SELECT datetime FROM wv WHERE v > (SELECT avg(v) FROM wv) * 1.05::DOUBLE)"""
+add("no_signal_month_ends_all", lambda spark, sf: present(B.no_signal_month_ends(busy_weeks(spark, sf), calendar(spark, sf), "2001-06-30"), ["month_end"]),
+    f"""{BUSY_SQL}, e AS (SELECT strftime(datetime, '%Y-%m') AS m, max(datetime) AS month_end FROM bars GROUP BY 1)
+  SELECT month_end::VARCHAR AS month_end FROM e WHERE m < (SELECT max(m) FROM e) AND m NOT IN (SELECT strftime(datetime, '%Y-%m') FROM s) AND month_end >= (SELECT min(datetime) FROM s) AND month_end <= DATE '2001-06-30'""")
+add("rebalance_periods_all", lambda spark, sf: present(B.rebalance_periods(busy_weeks(spark, sf), calendar(spark, sf), "2001-06-30"), ["signal_date", "exec_date"]),
+    f"""{BUSY_SQL}, r AS (SELECT s.datetime AS signal_date, (SELECT min(datetime) FROM bars WHERE datetime > s.datetime) AS exec_date FROM s)
+  SELECT signal_date::VARCHAR AS signal_date, exec_date::VARCHAR AS exec_date FROM r WHERE exec_date <= DATE '2001-06-30'""")
 add("no_signal_month_ends", lambda spark, sf: present(B.no_signal_month_ends(selection(spark, sf), calendar(spark, sf), "2001-06-30"), ["month_end"]),
     f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, e AS (SELECT strftime(datetime, '%Y-%m') AS m, max(datetime) AS month_end FROM bars GROUP BY 1), s AS (SELECT datetime FROM wk WHERE vt_symbol = '7.SUP' AND volume > 40)
   SELECT month_end::VARCHAR AS month_end FROM e WHERE m < (SELECT max(m) FROM e) AND m NOT IN (SELECT strftime(datetime, '%Y-%m') FROM s) AND month_end >= (SELECT min(datetime) FROM s) AND month_end <= DATE '2001-06-30'""")

@@ -35,3 +35,11 @@ def test_flagship(spark):
 def test_matches_sql(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert differ(got, con.execute(entry.oracle_sql()[name]).fetchdf()) == ""
+
+
+@pytest.mark.parametrize("name", ["group_pivot_close_all", "no_signal_month_ends_all", "rebalance_periods_all"])
+def test_whole_tables_match_sql(spark, con, name):
+    got = entry.queries()[name](spark, SF).toPandas()
+    assert differ(got, con.execute(entry.oracle_sql()[name]).fetchdf()) == ""
+    if name == "group_pivot_close_all":
+        assert set(got["vt_symbol"]) == {f"{k}.SUP" for (k,) in con.execute("SELECT DISTINCT l_suppkey FROM lineitem").fetchall()}
