@@ -26,10 +26,14 @@ EXACT = 2**53
 
 
 def integers(vector: str | Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null if the vector is null or has a null or non-finite component."""
+    """floor(scale * x) of each component, x as double; null if the vector is null or has a null or non-finite component.
+
+    A finite component whose product doesn't fit a long is an error.
+    """
     parts = F.transform(F.col(vector) if isinstance(vector, str) else vector, lambda x: x.cast("double"))
-    fine = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**62) / scale)))
-    return F.when(fine, F.transform(parts, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    fine = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    return F.when(fine, F.transform(parts, lambda x: F.when(F.abs(x) < F.lit(float(2**63) / scale), F.floor(x * F.lit(float(scale))).cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("a component doesn't fit a long: "), x.cast("string"))).cast("long"))))
 
 
 def block_top(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

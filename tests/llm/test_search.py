@@ -115,3 +115,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.range(500, 510).select(F.lit(500).cast("long").alias("a"), F.col("id").alias("b")))
     got = {r["id"]: r["component"] for r in jaccard.components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 500 for i in range(500, 510)}
+
+
+def test_components_beyond_a_long(spark):
+    ddl = "vec_id long, embedding array<double>"
+    fits = spark.createDataFrame([(0, [2.0**54]), (1, [1 / 256]), (2, [float("inf")])], ddl)
+    assert [tuple(r) for r in topk.top_k(fits, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2**62)]
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], ddl), F.col("vec_id") == 0).collect()
