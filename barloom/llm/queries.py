@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, pii, tokens, topk, toxicity
+from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, periods, pii, tokens, topk, toxicity
 from barloom.llm.common import held_out
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
@@ -73,6 +76,28 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.decisions(documents(spark, sf))
 
 
+def repeated_reading(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's reading: of a tenth of the ids the words from one place on repeat a first few of them."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at >= a, a + (at - a) % p, at)
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periods.periodic_runs(documents(spark, sf).select("doc_id", "text"), reading=repeated_reading)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", periods.strongest("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +105,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_mix_sources, op4_pseudonyms, op5_ngram_jaccard, op6_packing,
-                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, pipeline)}
+                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, op11_periodic_runs, pipeline)}
 
 SQL = {
     "op1_exact_top_k": """
@@ -97,4 +122,39 @@ SQL = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op11_periodic_runs": r"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+                CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        hashed AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                       list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS h
+            FROM documents, crc),
+        placed AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM hashed),
+        turned AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        read AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE words END AS words
+            FROM turned),
+        flat AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM read),
+        equal AS (
+            SELECT x.doc_id, y.i - x.i AS q, x.i FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (
+            SELECT * FROM stretches r WHERE NOT EXISTS (
+                SELECT 1 FROM stretches z WHERE z.doc_id = r.doc_id AND z.q < r.q AND z.s <= r.s AND z.s + z.len >= r.s + r.len)),
+        dropped AS (SELECT DISTINCT r.doc_id, x.i FROM runs r, unnest(range(r.s + r.q, r.s + r.len)) AS x(i)),
+        collapsed AS (
+            SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.i) AS said FROM flat f ANTI JOIN dropped d ON f.doc_id = d.doc_id AND f.i = d.i GROUP BY f.doc_id),
+        best AS (
+            SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (len * 1000000000000) // q DESC, s, q) = 1),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN collapsed c ON d.doc_id = c.doc_id""",
 }
