@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, periods, pii, tokens, topk, toxicity
+from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, periods, phrases, pii, tokens, topk, toxicity
 from barloom.llm.common import held_out
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
@@ -98,6 +98,10 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +109,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_mix_sources, op4_pseudonyms, op5_ngram_jaccard, op6_packing,
-                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, op11_periodic_runs, pipeline)}
+                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, op11_periodic_runs, op12_collocations, pipeline)}
 
 SQL = {
     "op1_exact_top_k": """
@@ -157,4 +161,31 @@ SQL = {
         SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(said, '')) AS collapsed_sha256
         FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN collapsed c ON d.doc_id = c.doc_id""",
+    "op12_collocations": r"""
+        WITH split AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+        one AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(w) AS g FROM pieces) GROUP BY ALL),
+        two AS (SELECT lang, g[1] AS x, g[2] AS y, count(*) AS f FROM (
+            SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS g FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+        three AS (SELECT lang, g[1] AS x, g[2] AS y, g[3] AS z, count(*) AS f FROM (
+            SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS g FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+        over AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+        cuts AS (
+            SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+            FROM two t JOIN one p ON p.lang = t.lang AND p.g = t.x JOIN one q ON q.lang = t.lang AND q.g = t.y
+            LEFT JOIN over o ON o.lang = t.lang AND o.x = t.x AND o.y = t.y WHERE o.f IS NULL OR 100 * o.f < 50 * t.f
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+            FROM three t JOIN one p ON p.lang = t.lang AND p.g = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+            FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.g = t.z),
+        scored AS (SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
