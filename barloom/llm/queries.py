@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, periods, phrases, pii, tokens, topk, toxicity
+from barloom.llm import dedup, idfile, jaccard, langid, mixing, packing, periods, phrases, pii, repeats, tokens, topk, toxicity
 from barloom.llm.common import held_out
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own.
@@ -102,6 +102,11 @@ def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf))
 
 
+def op13_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    left = repeats.without_repeats(documents(spark, sf).select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +114,8 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_mix_sources, op4_pseudonyms, op5_ngram_jaccard, op6_packing,
-                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, op11_periodic_runs, op12_collocations, pipeline)}
+                                   op7_token_counts, op8_id_files, op9_language, op10_exact_dedup, op11_periodic_runs, op12_collocations,
+                                   op13_repeated_bytes, pipeline)}
 
 SQL = {
     "op1_exact_top_k": """
@@ -188,4 +194,20 @@ SQL = {
         lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_repeated_bytes": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (
+            SELECT row, i, md5_number(substring(h, CAST(2 * i + 1 AS BIGINT), 400)) AS w
+            FROM (SELECT row, h, unnest(range(CAST(length(h) // 2 - 199 AS BIGINT))) AS i FROM d WHERE length(h) >= 400)),
+        twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+        begins AS (SELECT row, i, i + 200 AS e FROM windows SEMI JOIN twice USING (w)),
+        marked AS (SELECT *, CASE WHEN i <= lag(e) OVER (PARTITION BY row ORDER BY i) THEN 0 ELSE 1 END AS new FROM begins),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY i) AS span FROM marked),
+        spans AS (SELECT row, span, min(i) AS s, max(e) AS e FROM numbered GROUP BY row, span),
+        edges AS (SELECT row, e AS s, lead(s) OVER (PARTITION BY row ORDER BY s) AS e FROM (SELECT row, s, e FROM spans UNION ALL SELECT row, -1, 0 FROM d)),
+        kept AS (SELECT row, string_agg(substring(h, CAST(2 * s + 1 AS BIGINT), CAST(coalesce(2 * (e - s), length(h)) AS BIGINT)), '' ORDER BY s) AS k
+                 FROM edges JOIN d USING (row) GROUP BY row),
+        counted AS (SELECT row, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY row)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM d LEFT JOIN counted USING (row) LEFT JOIN kept USING (row)""",
 }
