@@ -24,7 +24,7 @@ from barloom.llm.common import plain
 from barloom.session import materialise
 
 #: Bytes of text of a language that end a block, and of all languages that a task holds before it writes them all.
-BLOCK, HELD = 8 << 20, 24 << 20
+BLOCK, HELD = 6 << 20, 18 << 20
 #: Parts in which a language is ranked before its best are ranked together.
 PARTS = 32
 
@@ -56,7 +56,7 @@ def one_list(values: pa.Array | np.ndarray) -> pa.Array:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -112,10 +112,11 @@ def longer(known: DataFrame, keep_codes: bool) -> DataFrame:
                 ids[frequent.field("code").to_numpy(zero_copy_only=False)] = np.arange(1, len(frequent) + 1)
                 own = ids[codes]  # the semi-join
                 # both sides are sorted by place, without gaps: the merge join on place + 1 is a shift
+                del codes
                 at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
                 key, code, n = np.unique(own[at] * (len(frequent) + 1) + own[at + 1], return_inverse=True, return_counts=True)
                 name = np.concatenate([[0], frequent.field("id").to_numpy(zero_copy_only=False)])
-                dense = np.zeros(len(own) if keep_codes else 0, np.int64)
+                dense = np.zeros(len(own) if keep_codes else 0, np.uint32)
                 if keep_codes:
                     dense[at] = code + 1
                 yield pa.RecordBatch.from_arrays(
@@ -126,13 +127,22 @@ def longer(known: DataFrame, keep_codes: bool) -> DataFrame:
     return materialise(known.mapInArrow(join, schema), "longer")
 
 
-def with_frequent(relation: DataFrame, each: DataFrame, grams: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, codes, frequent) of a relation: the codes of its blocks whose grams are frequent, with their ids.
+def frequent(each: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The persisted rows (block, code, keys, n) of the grams that occur ``least`` times or more, with id, f and whether the row is its gram's first.
 
-    ``each`` lists the grams of all blocks as (block, code, keys).
+    Rows are dealt by gram once, both for the counts and for the semi-join with them.
     """
-    found = each.join(grams.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("frequent"))
-    return relation.select("block", "codes").join(found, "block").select("block", "codes", "frequent")
+    dealt = each.select("block", "code", *keys, "n").repartition(*keys)
+    sums = dealt.groupBy(*keys).agg(F.sum("n").alias("f"), F.min(F.struct("block", "code")).alias("home")).where(F.col("f") >= least)
+    sums = sums.withColumn("id", F.monotonically_increasing_id())
+    found = dealt.join(sums.hint("shuffle_hash"), keys)
+    return materialise(found.select("block", "code", "n", *keys, "id", "f", (F.struct("block", "code") == F.col("home")).alias("first_row")), "frequent")
+
+
+def with_frequent(relation: DataFrame, kept: DataFrame) -> DataFrame:
+    """(block, codes, frequent) of a relation: the codes of its blocks whose grams are frequent, with their ids."""
+    listed = kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("frequent"))
+    return relation.select("block", "codes").join(listed, "block").select("block", "codes", "frequent")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -153,19 +163,22 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     """
     relation = occurrences(docs, text, lang)
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    words = relation.select("lang", F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.n").alias("f"))
-    grams = materialise(words.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "grams")
+    each = relation.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("code", "x"))
+    kept = frequent(each.select("block", (F.col("code") + 1).alias("code"), "lang", F.col("x.words").alias("word"), "x.n"), ["lang", "word"], least)
+    grams = kept.where("first_row")
     none = F.array().cast("array<long>")
     # heads and tails: how often the first and the last 1, 2, ... words of a gram occur
     told = grams.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
-    keys, found = ["lang", "word"], []
-    each = relation.select("block", "lang", F.posexplode("words").alias("code", "word")).withColumn("code", F.col("code") + 1)
+    keys, found = ["first", "second"], []
     for k in range(2, longest + 1):
-        relation = longer(with_frequent(relation, each, grams, keys), keep_codes=k < longest)
-        keys = ["first", "second"]
-        each = relation.select("block", F.posexplode(F.arrays_zip(*keys)).alias("code", "x")).select("block", (F.col("code") + 1).alias("code"), "x.*")
-        counted = relation.select(F.explode(F.arrays_zip("first", "second", "n")).alias("x")).groupBy("x.first", "x.second").agg(F.sum("x.n").alias("f"))
-        grams = materialise(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "grams")
+        relation = longer(with_frequent(relation, kept), keep_codes=k < longest)
+        each = relation.select("block", F.posexplode(F.arrays_zip(*keys, "n")).alias("code", "x")).select("block", (F.col("code") + 1).alias("code"), "x.*")
+        if k < longest:
+            kept = frequent(each, keys, least)
+            grams = kept.where("first_row")
+        else:
+            counted = each.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            grams = materialise(counted.withColumn("id", F.monotonically_increasing_id()), "grams")
         begin, end = told.drop("first", "second").alias("begin"), told.drop("first", "second").alias("end")
         told = materialise(
             grams.alias("own").join(begin, F.col("own.first") == F.col("begin.id")).join(end, F.col("own.second") == F.col("end.id")).select(
