@@ -235,7 +235,7 @@ def names(rows: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
                 if data.size < length:
                     continue
                 owners.append(own)
-                for place, some, n in pieces(data, length):
+                for place, some, n in pieces(data, length, PIECE):
                     waiting.append((len(owners) - 1, place, some, n))
                     size += len(some)
                     if size >= PIECE:
