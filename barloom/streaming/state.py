@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.folds import fold
 from barloom.session import materialise
-from barloom.sources.store import path_exists
+from barloom.sources.store import list_names, path_exists, remove_path
 
 # fixed values: order states that can still trade, exchanges with separate today/yesterday closing
 ACTIVE = ("submitting", "nottraded", "parttraded")
@@ -25,13 +27,71 @@ def active_orders(orders: DataFrame, keys: list[str], time: str, tie: str | None
     return latest_state(orders, keys, time, tie).where(F.col(status).isin(*ACTIVE))
 
 
-def upsert_latest(path: str, keys: list[str], time: str):
-    """``foreachBatch`` function keeping a latest-state table under ``path``."""
+class LatestTable:
+    """A latest-state table kept by a stream: rows by hash bucket of their keys, and a log of commits.
+
+    A micro-batch rewrites only the buckets it touches, into a folder of its own; the table is what the log names. Nothing that a
+    reader sees is ever overwritten: a run that stops before its commit leaves the table as it was, and an epoch that is in the
+    log is not applied again. ``vacuum`` removes folders that no bucket refers to any more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], time: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.keys, self.time, self.buckets = spark, path.rstrip("/"), keys, time, buckets
+
+    def commits(self) -> list[tuple[int, str, list[int]]]:
+        """(epoch, folder, buckets written) of all commits, in order: one short line each."""
+        log = f"{self.path}/log"
+        done = [n for n in list_names(self.spark, log) if n.startswith("epoch=") and path_exists(self.spark, f"{log}/{n}/_SUCCESS")]
+        if not done:
+            return []
+        rows = self.spark.read.schema("epoch long, folder string, touched array<int>").json([f"{log}/{n}" for n in done]).collect()
+        return sorted((r["epoch"], r["folder"], list(r["touched"])) for r in rows)
+
+    def places(self) -> dict[int, str]:
+        """The folder that holds each bucket now."""
+        return {b: folder for _, folder, touched in self.commits() for b in touched}
+
+    def _read(self, places: dict[int, str]) -> DataFrame | None:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(places.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame | None:
+        """The rows of the last commit; None before the first."""
+        return self._read(self.places())
+
+    def upsert(self, batch: DataFrame, epoch: int) -> None:
+        """``foreachBatch`` function: the batch's latest rows replace older ones of their keys, once an epoch."""
+        if any(done == epoch for done, _, _ in self.commits()):
+            return
+        # one row a key, written aside so that the batch is read once
+        new = materialise(latest_state(batch, self.keys, self.time).withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")), "latest")
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        places = self.places()
+        old = self._read({b: places[b] for b in touched if b in places})
+        rows = new.drop("bucket") if old is None else old.unionByName(new.drop("bucket"))
+        merged = latest_state(rows, self.keys, self.time).withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        folder = f"{epoch:012d}-{uuid.uuid4().hex}"
+        if touched:
+            merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        self.commit(epoch, folder, touched)
+
+    def commit(self, epoch: int, folder: str, touched: list[int]) -> None:
+        line = self.spark.createDataFrame([(epoch, folder, touched)], "epoch long, folder string, touched array<int>")
+        line.coalesce(1).write.mode("overwrite").json(f"{self.path}/log/epoch={epoch:012d}")
+
+    def vacuum(self) -> int:
+        """Remove the folders of abandoned runs and of older versions; returns how many went."""
+        used = set(self.places().values())
+        gone = [n for n in list_names(self.spark, f"{self.path}/data") if n not in used]
+        for name in gone:
+            remove_path(self.spark, f"{self.path}/data/{name}")
+        return len(gone)
+
+
+def upsert_latest(path: str, keys: list[str], time: str, buckets: int = 64):
+    """``foreachBatch`` function keeping a latest-state table under ``path``; ``LatestTable(...).read()`` gives its rows."""
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if not path_exists(spark, path) else spark.read.parquet(path).unionByName(batch)
-        # stored aside first: the table being replaced is also being read
-        materialise(latest_state(rows, keys, time), "latest").write.mode("overwrite").parquet(path)
+        LatestTable(batch.sparkSession, path, keys, time, buckets).upsert(batch, epoch)
 
     return run
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barloom.functions import algebra as A
+from barloom.functions import indicators as I
 from barloom.functions import scalars as S
 from barloom.functions.algebra import field
 from barloom.operators import fundamentals, joins
@@ -17,9 +18,11 @@ from barloom.session import materialise, work_dir
 from barloom.sources import lake as L
 from barloom.sources.store import BarStore, bar_overview, load_panel, tick_overview, to_store_zone
 from barloom.streaming import bars as Z
+from barloom.streaming import ordered as O
 from barloom.streaming import state as X
 from checks.panels import MEMBERS_SQL, bars, bars_sql, members, present, present_sql, table
 from checks.registry import add
+from checks.sqltext import factor_sql
 from checks.study_queries import SEG
 
 K2 = ["vt_symbol", "datetime"]
@@ -292,10 +295,15 @@ def tick_stream(spark, sf):
 
 def cut_ticks(spark, sf):
     """The ticks as a stream of three micro-batches cut by time, in which ticks are up to half a minute late."""
+    return cut_stream(spark, ticks(spark, sf), 30)
+
+
+def cut_stream(spark, rows, late):
+    """Rows as a stream of three micro-batches cut by time, in which rows are up to ``late`` seconds late."""
     base = fresh(spark, "ticks")
-    t = ticks(spark, sf).withColumn("datetime", F.col("datetime").cast("timestamp"))
+    t = rows.withColumn("datetime", F.col("datetime").cast("timestamp"))
     first, last = (x.timestamp() for x in t.agg(F.min("datetime"), F.max("datetime")).first())
-    arrives = F.unix_micros("datetime") / 1e6 + F.pmod(F.xxhash64("vt_symbol", "datetime"), F.lit(30))
+    arrives = F.unix_micros("datetime") / 1e6 + F.pmod(F.xxhash64("vt_symbol", "datetime"), F.lit(late))
     t = materialise(t.withColumn("_b", F.least(F.floor((arrives - first) / ((last - first + 1) / 3)), F.lit(2))), "ticks")
     for k in range(3):
         t.where(F.col("_b") == k).drop("_b").coalesce(1).write.mode("append").parquet(base)
@@ -313,6 +321,47 @@ CLOSED = "(SELECT * FROM tb WHERE datetime + INTERVAL 1 HOUR <= (SELECT max(date
 add("stream_tick_bars", lambda spark, sf: present(as_text(drained(spark, Z.streaming_bars(cut_ticks(spark, sf), 3600))), K2, (), OHLC), tick_sql(3600) + " " + shown(CLOSED))
 
 
+# longer bars on a stream of bars that are up to two hours late: what the watermark, four hours behind, has closed
+LATE, BEHIND = 7200, "4 hours"
+
+
+def late_bars(spark, sf, seconds=3600):
+    return cut_stream(spark, Z.tick_bars(ticks(spark, sf), seconds), LATE)
+
+
+PASSED = "(SELECT max(datetime) FROM tb) - INTERVAL 4 HOUR"
+for name, length, sql in (("15_minutes", 15, "time_bucket(INTERVAL 15 MINUTE, datetime)"), ("hour", 60, "date_trunc('hour', datetime)")):
+    add(f"stream_bars_{name}", lambda spark, sf, n=length: present(as_text(drained(spark, Z.window_bars(late_bars(spark, sf, 60).withWatermark("datetime", BEHIND), f"{n} minutes"))), K2, (), OHLC),
+        tick_sql(60) + f", r AS ({rollup_sql('b', f'(SELECT *, {sql} AS b FROM tb)')}) " + shown(f"(SELECT * FROM r WHERE datetime + INTERVAL {length} MINUTE <= {PASSED})"))
+add("stream_bars_4_hours", lambda spark, sf: present(as_text(drained(spark, O.streaming_counted_bars(late_bars(spark, sf), 4, BEHIND))), K2, ["n_bars"], OHLC),
+    tick_sql(3600) + f""", g AS (SELECT *, floor((row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime) - 1) / 4) AS g FROM tb), r AS (SELECT vt_symbol, min(datetime) AS datetime, arg_min(open, datetime) AS open,
+  max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, sum(volume) AS volume, sum(turnover) AS turnover, count(*) AS n_bars FROM g GROUP BY vt_symbol, g
+  HAVING count(*) = 4 AND max(datetime) <= {PASSED})
+  SELECT vt_symbol, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, """ + present_sql("r", (), ["n_bars"], OHLC).removeprefix("SELECT "))
+add("stream_bars_session", lambda spark, sf: present(drained(spark, O.streaming_session_bars(late_bars(spark, sf), BEHIND)), K2, (), OHLC),
+    tick_sql(3600) + f""", g AS (SELECT *, (hour(datetime) = 15)::INT AS e, coalesce(sum((hour(datetime) = 15)::INT) OVER (PARTITION BY vt_symbol ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM tb),
+  r AS (SELECT vt_symbol, max(datetime)::DATE AS datetime, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, sum(volume) AS volume, sum(turnover) AS turnover
+  FROM g GROUP BY vt_symbol, s HAVING max(e) = 1 AND max(datetime) <= {PASSED}) """ + present_sql("r", K2, (), OHLC))
+
+
+# indicators on a stream of daily bars that are up to three days late, the watermark ten days behind
+STREAMED = {"sma_5": I.sma(5), "sma_20": I.sma(20), "ema_10": I.ema(10), "ema_30": I.ema(30), "rsi": I.rsi(14), "atr": I.atr(14), **I.macd(12, 26, 9)}
+
+
+def indicator_stream(spark, sf):
+    stream = cut_stream(spark, bars(spark, sf), 3 * 86400)
+    return drained(spark, O.streaming_indicators(stream, "10 days", sma=(5, 20), ema=(10, 30)))
+
+
+def indicator_stream_sql():
+    ctes, last = factor_sql("bars", STREAMED, K2)
+    kept = f"(SELECT * FROM {last} WHERE datetime <= (SELECT max(datetime) FROM bars) - INTERVAL 10 DAY)"
+    return f"WITH {bars_sql()}, {ctes} " + present_sql(kept, K2, (), list(STREAMED))
+
+
+add("stream_indicators", lambda spark, sf: present(indicator_stream(spark, sf).withColumn("datetime", F.col("datetime").cast("date")), K2, (), list(STREAMED)), indicator_stream_sql())
+
+
 def recorded(spark, sf):
     base = fresh(spark, "stream")
     chosen = table(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(".EVT")).alias("vt_symbol")).where("vt_symbol LIKE '1%'")
@@ -326,10 +375,10 @@ add("stream_record", lambda spark, sf: present(recorded(spark, sf), ["vt_symbol"
 
 def upserted(spark, sf):
     base = fresh(spark, "stream")
-    e = tick_stream(spark, sf).select("vt_symbol", "datetime", "last_price")
+    e = cut_ticks(spark, sf).select("vt_symbol", "datetime", "last_price")
     q = e.writeStream.foreachBatch(X.upsert_latest(f"{base}/latest", ["vt_symbol"], "datetime")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/latest")
+    return X.LatestTable(spark, f"{base}/latest", ["vt_symbol"], "datetime").read()
 
 
 LAT_SQL = "WITH r AS (SELECT user_id || '.EVT' AS vt_symbol, max(ts) AS datetime, arg_max(value, ts) AS last_price FROM events GROUP BY 1) SELECT vt_symbol, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, " + present_sql("r", (), (), ["last_price"]).removeprefix("SELECT ")
