@@ -24,7 +24,7 @@ from barloom.llm.common import plain
 from barloom.session import materialise
 
 #: Bytes of text of a language that end a block, and of all languages that a task holds before it writes them all.
-BLOCK, HELD = 6 << 20, 18 << 20
+BLOCK, HELD = 8 << 20, 16 << 20
 #: Parts in which a language is ranked before its best are ranked together.
 PARTS = 32
 
@@ -66,7 +66,7 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, number = TaskContext.get().partitionId() << 32, 0
+        first, number = TaskContext.get().partitionId() << 12, 0
         held: dict[str, list[str]] = {}
         size: dict[str, int] = {}
 
@@ -76,6 +76,8 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             size.pop(own)
             n = np.bincount(codes, minlength=len(words) + 1)[1:]
             number += 1
+            if number == 1 << 12:
+                raise OverflowError("a task has more blocks than numbers")
             return pa.RecordBatch.from_arrays(
                 [pa.array([first + number], pa.int64()), pa.array([own]), pa.array([int(n.sum())], pa.int64()), one_list(words.cast(pa.string())),
                  one_list(n), pa.array([packed(codes)], pa.binary())],
@@ -99,50 +101,66 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def longer(known: DataFrame, keep_codes: bool) -> DataFrame:
     """The persisted relation of the next length from rows (block, codes, frequent: list of (code, id)).
 
-    Rows (block, first, second, n, codes): the grams of the block by the ids of what they begin and end with.
+    Rows (block, codes, grams, ids): ``grams`` holds for each gram of the block the places in ``ids`` of what it begins and ends
+    with, and its count.
     """
-    schema = "block long, first array<long>, second array<long>, n array<long>, codes binary"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 codes = unpacked(batch.column(1)[k].as_py())
                 frequent = batch.column(2)[k].values
-                ids = np.zeros(int(codes.max(initial=0)) + 1, np.int64)  # numbers of the frequent ones, in this block
-                ids[frequent.field("code").to_numpy(zero_copy_only=False)] = np.arange(1, len(frequent) + 1)
-                own = ids[codes]  # the semi-join
+                m = len(frequent) + 1
+                number = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)  # of the frequent ones, in this block
+                number[frequent.field("code").to_numpy(zero_copy_only=False)] = np.arange(1, m)
+                own = number[codes]  # the semi-join
                 # both sides are sorted by place, without gaps: the merge join on place + 1 is a shift
-                del codes
                 at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
-                key, code, n = np.unique(own[at] * (len(frequent) + 1) + own[at + 1], return_inverse=True, return_counts=True)
-                name = np.concatenate([[0], frequent.field("id").to_numpy(zero_copy_only=False)])
+                key = own[at].astype(np.int64) * m + own[at + 1]
+                del codes
+                key, code, n = np.unique(key, return_inverse=True, return_counts=True)
                 dense = np.zeros(len(own) if keep_codes else 0, np.uint32)
                 if keep_codes:
                     dense[at] = code + 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[k : k + 1], *(one_list(x) for x in (name[key // (len(frequent) + 1)], name[key % (len(frequent) + 1)], n)),
-                     pa.array([packed(dense)], pa.binary())],
-                    names=["block", "first", "second", "n", "codes"])
+                grams = np.stack([key // m - 1, key % m - 1, n]).astype("<u4")
+                ids = frequent.field("id").to_numpy(zero_copy_only=False).astype("<i8")
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *(pa.array([x], pa.binary()) for x in (packed(dense), grams.tobytes(), ids.tobytes()))],
+                                                 names=["block", "codes", "grams", "ids"])
+
+    return materialise(known.mapInArrow(join, "block long, codes binary, grams binary, ids binary"), "longer")
+
+
+def listed(relation: DataFrame) -> DataFrame:
+    """Rows (at, first, second, n): the grams of all blocks by the ids of their parts. ``at`` is block * 2^32 + code."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                grams = np.frombuffer(batch.column(1)[k].as_buffer(), "<u4").reshape(3, -1)
+                ids, block = np.frombuffer(batch.column(2)[k].as_buffer(), "<i8"), batch.column(0)[k].as_py()
+                for i in range(0, grams.shape[1], 20_000):
+                    some = grams[:, i : i + 20_000]
+                    at = (block << 32) + np.arange(i + 1, i + 1 + some.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, ids[some[0]], ids[some[1]], some[2].astype(np.int32))], names=["at", "first", "second", "n"])
 
-    return materialise(known.mapInArrow(join, schema), "longer")
+    return relation.select("block", "grams", "ids").mapInArrow(rows, "at long, first long, second long, n int")
 
 
 def frequent(each: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The persisted rows (block, code, keys, n) of the grams that occur ``least`` times or more, with id, f and whether the row is its gram's first.
+    """The persisted rows (at, id) of the grams that occur ``least`` times or more; a gram's first row, whose place is its id, has its keys and count f.
 
-    Rows are dealt by gram once, both for the counts and for the semi-join with them.
+    Rows are dealt by gram once, both for the counts and for the semi-join with them; a block has one row of a gram at most.
     """
-    dealt = each.select("block", "code", *keys, "n").repartition(*keys)
-    sums = dealt.groupBy(*keys).agg(F.sum("n").alias("f"), F.min(F.struct("block", "code")).alias("home")).where(F.col("f") >= least)
-    sums = sums.withColumn("id", F.monotonically_increasing_id())
-    found = dealt.join(sums.hint("shuffle_hash"), keys)
-    return materialise(found.select("block", "code", "n", *keys, "id", "f", (F.struct("block", "code") == F.col("home")).alias("first_row")), "frequent")
+    same = Window.partitionBy(*keys)
+    counted = each.select("at", *keys, F.sum("n").over(same).alias("f"), F.min("at").over(same).alias("id")).where(F.col("f") >= least)
+    told = [F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in (*keys, "f")]
+    return materialise(counted.select("at", "id", *told), "frequent")
 
 
 def with_frequent(relation: DataFrame, kept: DataFrame) -> DataFrame:
     """(block, codes, frequent) of a relation: the codes of its blocks whose grams are frequent, with their ids."""
-    listed = kept.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("frequent"))
-    return relation.select("block", "codes").join(listed, "block").select("block", "codes", "frequent")
+    codes = kept.select(F.shiftright("at", 32).alias("block"), F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("code"), "id").alias("x"))
+    return relation.select("block", "codes").join(codes.groupBy("block").agg(F.collect_list("x").alias("frequent")), "block").select("block", "codes", "frequent")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -164,18 +182,19 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     relation = occurrences(docs, text, lang)
     totals = relation.groupBy("lang").agg(F.sum("n_words").alias("n"))
     each = relation.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("code", "x"))
-    kept = frequent(each.select("block", (F.col("code") + 1).alias("code"), "lang", F.col("x.words").alias("word"), "x.n"), ["lang", "word"], least)
-    grams = kept.where("first_row")
+    at = F.shiftleft("block", 32) + F.col("code") + 1
+    kept = frequent(each.select(at.alias("at"), "lang", F.col("x.words").alias("word"), "x.n"), ["lang", "word"], least)
+    grams = kept.where("f IS NOT NULL")
     none = F.array().cast("array<long>")
     # heads and tails: how often the first and the last 1, 2, ... words of a gram occur
     told = grams.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     keys, found = ["first", "second"], []
     for k in range(2, longest + 1):
         relation = longer(with_frequent(relation, kept), keep_codes=k < longest)
-        each = relation.select("block", F.posexplode(F.arrays_zip(*keys, "n")).alias("code", "x")).select("block", (F.col("code") + 1).alias("code"), "x.*")
+        each = listed(relation)
         if k < longest:
             kept = frequent(each, keys, least)
-            grams = kept.where("first_row")
+            grams = kept.where("f IS NOT NULL")
         else:
             counted = each.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
             grams = materialise(counted.withColumn("id", F.monotonically_increasing_id()), "grams")
