@@ -238,6 +238,14 @@ def components(edges: DataFrame) -> DataFrame:
     return whole.join(least, "to").select("id", "component")
 
 
+def shared_ids(each: DataFrame, classes: DataFrame, same: list[str]) -> DataFrame:
+    """Edges (a, b) between classes that hold rows of one id."""
+    full = each.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.struct(*same).alias("set"))
+    several = full.groupBy("doc_id").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("doc_id")
+    held = full.join(several, "doc_id").select("doc_id", "set.*").distinct().join(classes.select(*same, "id"), same)
+    return held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -279,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     near = lists.select(own.alias("x"), F.explode(F.filter(F.array("before", "head"), lambda y: y.isNotNull())).alias("y"))
     first = materialise(plausible(ordered(near.where(reachable("x", "y"))), classes, percent), "pairs")
     links = materialise(probe(first, sets_of(rows, ends(first), width), percent), "links")
-    classed = materialise(components(links), "classed")
+    classed = materialise(components(links.unionByName(shared_ids(each, classes, same))), "classed")
 
     # what is still to be compared: members of different classes in one list
     parts = lists.join(classed, "id", "left").select("code", "id", "n", "place", F.coalesce("component", "id").alias("own"))

@@ -25,16 +25,36 @@ SAMPLE = 4000
 #: Share of rightly predicted validation documents that the rejection threshold may cost, and its upper bound.
 FALSE_REJECTS, HIGHEST = 0.0005, 0.5
 
+#: Bytes of text whose subwords are made at once.
+PART_BYTES = 1 << 17
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of the subwords of all texts in a row, and how many each text has."""
-    encoded = [x.encode() for x in texts.to_pylist()]
-    raw = b"".join([b" " + x + b" " for x in encoded]).translate(_FOLD)
-    owner_ends = np.cumsum([len(x) + 2 for x in encoded])
-    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    parts, counts = [], np.zeros(len(texts), np.int64)
+def parts(texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Groups of pieces of the texts, of about ``size`` bytes each: whose they are, and the pieces. Long texts are cut between words."""
+    rows, some, held = [], [], 0
+    for row in range(len(texts)):
+        data = texts[row].as_buffer().to_pybytes()
+        begin = 0
+        while begin < len(data):
+            blank = data.find(b" ", begin + size)
+            end = blank if blank > begin else len(data)
+            rows.append(row)
+            some.append(data[begin:end])
+            held += end - begin
+            begin = end
+            if held >= size:
+                yield np.array(rows), some
+                rows, some, held = [], [], 0
+    if some:
+        yield np.array(rows), some
+
+
+def subwords(some: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of subwords: which text each is in, and its bucket."""
+    data = np.frombuffer(b"".join([b" " + x + b" " for x in some]).translate(_FOLD), np.uint8)
+    ends = np.cumsum([len(x) + 2 for x in some])
     blank = data == 32
     for n in SIZES:
         if len(data) < n:
@@ -52,15 +72,18 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         code ^= code >> np.uint32(15)
         code *= np.uint32(0x85EBCA6B)
         code ^= code >> np.uint32(13)
-        owner = np.searchsorted(owner_ends, at, side="right")
         # texts are parted by two blanks, so none of the kept ones reaches into the next text
-        parts.append((owner, (code & np.uint32(BUCKETS - 1)).astype(np.int64)))
-        counts += np.bincount(owner, minlength=len(texts))
-    if not parts:
-        return np.zeros(0, np.int64), counts
-    owners, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(owners, kind="stable")
-    return codes[order], counts
+        yield np.searchsorted(ends, at, side="right"), (code & np.uint32(BUCKETS - 1)).astype(np.int32)
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords and how often each occurs."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for _, some in parts(plain(pa.array([text], pa.string()))):
+        for _, codes in subwords(some):
+            counts += np.bincount(codes, minlength=BUCKETS)
+    codes = np.flatnonzero(counts)
+    return codes.astype(np.int32), counts[codes].astype(np.float32)
 
 
 @dataclass
@@ -74,14 +97,13 @@ class LanguageModel:
     threshold: float = 0.0
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
-        codes, counts = subwords(texts)
-        out = np.zeros((len(texts), len(self.languages)))
-        some = np.flatnonzero(counts)
-        if len(some):
-            starts = (np.cumsum(counts) - counts)[some]
-            for k in range(len(self.languages)):
-                out[some, k] = np.add.reduceat(self.table[:, k][codes], starts) / counts[some]
-        return softmax((out + self.bias) / self.temperature)
+        out, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for rows, some in parts(texts):
+            for owner, codes in subwords(some):
+                counts += np.bincount(rows[owner], minlength=len(texts))
+                for k in range(len(self.languages)):
+                    out[:, k] += np.bincount(rows[owner], self.table[:, k][codes], minlength=len(texts))
+        return softmax((out / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -91,14 +113,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 3) -> LanguageModel:
     """Train on labelled texts; a tenth of them calibrates temperature and rejection."""
+    return fit_bags([bag(x) for x in texts], langs, epochs, seed)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, seed: int = 3) -> LanguageModel:
+    """The same from the bags of the texts."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
     target = np.searchsorted(np.array(languages, object), np.array(langs, object)) if languages else np.zeros(0, np.int64)
-    bags = []  # narrow types: the driver holds the bags of the whole sample
-    for text in texts:
-        codes, counts = np.unique(subwords(plain(pa.array([text])))[0], return_counts=True)
-        bags.append((codes.astype(np.int32), counts.astype(np.float32)) if len(codes) else None)
-    usable = [i for i, x in enumerate(bags) if x is not None]
+    usable = [i for i, x in enumerate(bags) if len(x[0])]
     rng.shuffle(usable)
     held, used = usable[: len(usable) // 10], usable[len(usable) // 10 :]
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -135,7 +158,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 3) -> L
 
 
 def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, seed: int = 5) -> LanguageModel:
-    """Learn from rows with a non-null lang (of those where ``use`` holds); about ``sample`` whole texts reach the driver."""
+    """Learn from rows with a non-null lang (of those where ``use`` holds); the bags of about ``sample`` texts reach the driver.
+
+    A bag has at most ``BUCKETS`` numbers, however long its text is.
+    """
     rows = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull())
     rows = rows.where(use) if use is not None else rows
     # a row for each language
@@ -143,9 +169,18 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE, seed
     if not found:
         return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1))
     share = F.coalesce(*[F.when(docs["lang"] == k, F.lit(sample / len(found) / n)) for k, n in found.items()])
-    got = rows.where(unit_hash("doc_id", seed=seed) < share).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
+    chosen = rows.where(unit_hash("doc_id", seed=seed) < share).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "lang", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(plain(batch.column(3))):
+                codes, counts = bag(text.as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k : k + 1] for c in range(3)), pa.array([codes.tobytes()]), pa.array([counts.tobytes()])],
+                                                 names=["doc_id", "mark", "lang", "codes", "counts"])
+
+    got = chosen.mapInArrow(counted, "doc_id long, mark long, lang string, codes binary, counts binary").toPandas().sort_values(["doc_id", "mark"])
     missing = set(found) - set(got["lang"])
-    model = fit(got["text"].tolist(), got["lang"].tolist())
+    model = fit_bags([(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(got["codes"], got["counts"], strict=True)], got["lang"].tolist())
     if missing and len(found) == 1:
         model.languages = sorted(found)
     return model
@@ -159,14 +194,17 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     letters = F.coalesce(docs[text].cast("string").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*names, docs[text].cast("string").alias("__text"), letters.alias("__letters"))
+    # a text that is kept anyway goes through Python once
+    own = text in names and dict(docs.dtypes)[text] == "string"
+    rows = docs.select(*names, letters.alias("__letters"), *([] if own else [docs[text].cast("string").alias("__text")]))
+    at = names.index(text) if own else len(names) + 1
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = plain(batch.column(len(names)))
+            texts = plain(batch.column(at))
             for i, j in slices(texts, 1 << 20):
-                lettered = batch.column(len(names) + 1)[i:j].to_numpy(zero_copy_only=False).astype(bool)
+                lettered = batch.column(len(names))[i:j].to_numpy(zero_copy_only=False).astype(bool)
                 if model.languages:
                     sure = model.probabilities(texts[i:j])
                     best, score = sure.argmax(axis=1), sure.max(axis=1)

@@ -16,19 +16,73 @@ from barloom.llm.common import binary_array, plain, slices
 
 #: Splitting pattern of the tokenizer file whose plain ASCII words can be cut beforehand (fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words and pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Units whose ids a worker remembers before it starts anew.
+REMEMBERED = 200_000
 
-_PLAIN = re.compile(r"[!-&(-~]+")
-_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: What a byte can be: white space, letter, digit, other printable sign, or anything that is left to the library.
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KINDS = np.array([_SPACE if c in b" \t\n\v\f\r" else _LETTER if chr(c).isalpha() and c < 128 else _DIGIT if chr(c).isdigit() and c < 128
+                   else _SIGN if 32 < c < 127 and c != ord("'") else _ODD for c in range(256)], np.uint8)
+#: Lead bytes of U+00C0 to U+017F, which are letters but for three (times, division, and a capital that has no single lower form).
+_LEADS = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5])
+_NO_LETTERS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)]
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
+    own = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    others = iter(range(256, 512))
+    return [chr(c) if c in own else chr(next(others)) for c in range(256)]
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters, digits and runs of other signs of all texts in a row, and the offset of each text's first, with the end.
+
+    A word (between white space) that holds anything but Latin letters, digits and ASCII signs, or an apostrophe, is one unit.
+    """
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    base = int(offsets[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, int(offsets[-1]) - base, base) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    begins = offsets - base
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    kind = _KINDS[data]
+    lead = np.flatnonzero(_LEADS[data[:-1]])
+    letter = np.ones(len(lead), bool)
+    for first, second in _NO_LETTERS:
+        letter &= (data[lead] != first) | (data[lead + 1] != second)
+    kind[lead[letter]] = _LETTER
+    kind[lead[letter] + 1] = _LETTER
+    full = kind != _SPACE
+    start = full.copy()
+    start[1:] &= ~full[:-1]
+    edges = begins[:-1][np.diff(begins) > 0]
+    start[edges] = full[edges]
+    words = np.flatnonzero(start)
+    if not len(words):
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    odd = np.flatnonzero(np.logical_or.reduceat(kind == _ODD, words))
+    change = full.copy()
+    change[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    ends = np.concatenate([words[1:], [len(data)]])
+    for a, b in zip(words[odd].tolist(), ends[odd].tolist(), strict=True):
+        change[a:b] = False
+    change |= start
+    at = np.flatnonzero(change)
+    place = np.cumsum(full) - 1
+    cuts = np.concatenate([place[at], [place[-1] + 1]])
+    found = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[full]))])
+    return found, np.searchsorted(at, begins)
 
 
 class Encoder:
     """Ids of a ``tokenizers`` file for many texts at once, without added special tokens.
 
-    If the file drops white space and splits at it, ids of a text are the ids of its words in a row; each distinct word is
-    then encoded once and remembered. Any other file, and any text that holds a special string, is
-    encoded whole.
+    If the file drops white space and splits at it and between letters, digits and other signs, ids of a text are the ids of these
+    units in a row; each distinct unit is then encoded once and remembered. Any other file, and any text that holds a
+    special string, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,12 +102,12 @@ class Encoder:
                         and split["behavior"] == "Removed" and split["invert"] and len(steps) == 2 and steps[1]["type"] == "ByteLevel"
                         and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and parts["post_processor"] is None
                         and parts["model"]["dropout"] is None and not any(x.isspace() for s in self.special for x in s))
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -68,41 +122,36 @@ class Encoder:
         self.used += len(ids)
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        tokenize, pieces, others = self.lib.model.tokenize, self.pieces, []
-        names, ids, lengths = [], [], []
-        for word in words:
-            if not _PLAIN.fullmatch(word):
-                others.append(word)
+    def _learn(self, names: list[str]) -> None:
+        tokenize, letters = self.lib.model.tokenize, self.letters
+        simple, others, ids, lengths = [], [], [], []
+        for name in names:
+            if not _SIMPLE.fullmatch(name):
+                others.append(name)
                 continue
-            before = len(ids)
-            for piece in _PIECES.findall(word.lower()):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = [x.id for x in tokenize(piece)]
-                ids += got
-            names.append(word)
-            lengths.append(len(ids) - before)
-        self._remember(names, np.array(ids, np.uint32), np.array(lengths, np.int64))
+            low = name.lower()
+            got = tokenize(low if low.isascii() else "".join([letters[c] for c in low.encode()]))
+            ids += [x.id for x in got]
+            simple.append(name)
+            lengths.append(len(got))
+        self._remember(simple, np.array(ids, np.uint32), np.array(lengths, np.int64))
         for i in range(0, len(others), 20_000):
             some = others[i : i + 20_000]
             got = self.lib.encode(some, is_pretokenized=True, add_special_tokens=False)
             self._remember(some, np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(texts)
-        words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        found, cuts = units(texts)
+        found = found.dictionary_encode()
+        names = found.dictionary.to_pylist()
         if len(self.place) > REMEMBERED:
             self.forget()
         self._learn([x for x in names if x not in self.place])
-        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
         lengths = self.length[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], lengths)]
-        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, ends[cuts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the offsets at which each text begins, with the end."""

@@ -48,10 +48,24 @@ def test_texts_do_not_share_subwords():
     import pyarrow as pa
 
     texts = ["ab cd", "", "xyz", "ab cd"]
-    codes, counts = langid.subwords(plain(pa.array(texts)))
-    ends = np.cumsum(counts)
-    for k, text in enumerate(texts):
-        assert codes[ends[k] - counts[k] : ends[k]].tolist() == langid.subwords(plain(pa.array([text])))[0].tolist()
+    rows, some = next(langid.parts(plain(pa.array(texts))))
+    for owner, codes in langid.subwords(some):
+        for k, row in enumerate(rows):
+            alone = [c for _, own in langid.subwords([some[k]]) for c in own.tolist()]
+            assert set(codes[owner == k].tolist()) <= set(alone) and some[k] == texts[row].encode()
+
+
+def test_long_texts_are_cut_between_words():
+    import pyarrow as pa
+
+    text = " ".join(f"wörd{i % 977}" for i in range(60_000))
+    pieces = [x for _, some in langid.parts(plain(pa.array([text]))) for x in some]
+    assert len(pieces) > 3 and b"".join(pieces) == text.encode()
+    whole = np.zeros(langid.BUCKETS, np.int64)
+    for _, codes in langid.subwords([text.encode()]):
+        whole += np.bincount(codes, minlength=langid.BUCKETS)
+    codes, counts = langid.bag(text)
+    assert codes.tolist() == np.flatnonzero(whole).tolist() and counts.tolist() == whole[whole > 0].tolist()
 
 
 def made_up(n, seed):
