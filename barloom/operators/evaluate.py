@@ -17,6 +17,7 @@ from barloom.functions import algebra as A
 
 from barloom.functions.algebra import DATE, OPERATORS, ORDINAL, ROW, SYMBOL, Factor, Windows
 from barloom.operators.crosssection import many_ranks, wide_terms
+from barloom.operators.longhistory import RUNNING, carried
 
 # Above this many rows of one instrument its history is cut into overlapping pieces, above this
 # many rows of one date per-date terms avoid single-partition windows.
@@ -185,6 +186,29 @@ def _cut(df: DataFrame, back: int, ahead: int, size: int) -> DataFrame:
     )
 
 
+def _pieces(frame: DataFrame, new: list[Factor], layers: Layers, w: Windows, symbol: str, time: str, long_history: int) -> DataFrame:
+    """One layer of per-instrument terms over pieces of the histories: windows repeat border rows, running terms carry values over."""
+    def args(n: Factor) -> list[Column]:
+        return [_column(a, layers, w, False) for a in n.args]
+
+    kept = [n for n in new if n.op in RUNNING or n.op == "block_sum"]
+    rest = [n for n in new if not (n.op in RUNNING or n.op == "block_sum")]
+    spans = [n.params[1:3] if n.op == "native" else OPERATORS[n.op].span(*n.params) for n in rest if _kind(n) == SYMBOL]
+    if spans:
+        whole = any(s is None for s in spans)  # a user's term that needs a whole history at once
+        back, ahead = (0, 0) if whole else (max(s[0] for s in spans), max(s[1] for s in spans))
+        if not whole:
+            frame = _cut(frame, back, ahead, max(long_history // 2, back, ahead, 1))
+        pieces = Windows([symbol] if whole else [symbol, "_piece"], [time], time)
+        frame = frame.select("*", *(_column(n, layers, pieces).alias(layers.name[id(n)]) for n in rest))
+        frame = frame if whole else frame.where(F.col("_step") == 0).drop("_step", "_piece")
+    elif rest:
+        frame = frame.select("*", *(_column(n, layers, w).alias(layers.name[id(n)]) for n in rest))
+    if kept:
+        frame = carried(frame, {layers.name[id(n)]: (n.op, args(n)) for n in kept}, symbol, time, max(long_history // 2, 1))
+    return frame
+
+
 def evaluate(
     df: DataFrame,
     factors: dict[str, Factor],
@@ -208,19 +232,21 @@ def evaluate(
     frame = df if layers.has_native else df.select(*base)
 
     reach = layers.reach() if SYMBOL in kinds else None
-    cut = SYMBOL in kinds and sizes[0] > long_history and reach is not None
+    long = SYMBOL in kinds and sizes[0] > long_history
+    cut = long and reach is not None  # one cut serves all layers
+    pieced = long and reach is None  # some term runs over the whole history: every layer is cut by itself
     wide = DATE in kinds and sizes[1] > wide_date
     keys = sorted(layers.groups)
     heavy: dict[int, int] = defaultdict(int)
     for key in keys:
         heavy[key[0]] += sum(_kind(n) != ROW for n in layers.groups[key])
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if heavy[0] >= HEAVY_PHASE and not cut:
+    if heavy[0] >= HEAVY_PHASE and not long:
         frame = frame.repartition(slots, symbol)
-    if (layers.needs_ordinal and ORDINAL not in frame.columns) or cut:
+    if (layers.needs_ordinal or long) and ORDINAL not in frame.columns:
         frame = add_ordinal(frame, symbol, time, sizes[0] > long_history)
     always = list(dict.fromkeys([symbol, time, *keep]))
-    if layers.needs_ordinal or cut:
+    if layers.needs_ordinal or long:
         always.append(ORDINAL)
     symbol_keys = [symbol, "_piece"] if cut else [symbol]
     w = Windows(symbol_keys, [time], time)
@@ -247,7 +273,7 @@ def evaluate(
             if cut and not dated:
                 frame = _cut(frame, reach[0], reach[1], max(long_history // 2, reach[0], reach[1], 1))
                 columns += ["_step", "_piece"]
-            if (key[0] > 0 or cut) and heavy[key[0]] >= HEAVY_PHASE and not (wide and dated):
+            if (key[0] > 0 or cut) and heavy[key[0]] >= HEAVY_PHASE and not (wide and dated) and not (pieced and not dated):
                 frame = frame.repartition(slots, *([time] if dated else symbol_keys))
             phase = key[0]
         new = layers.groups[key]
@@ -257,6 +283,10 @@ def evaluate(
             todo = {layers.name[id(n)]: (n.op, [*(_column(a, layers, w, False) for a in n.args), *n.params]) for n in new}
             columns = trimmed(at + 1, []) + names
             frame = wide_terms(frame, todo, symbol, time, wide_date).select(*columns)
+        elif pieced and not dated and any(_kind(n) == SYMBOL for n in new):
+            frame = _pieces(frame.select(*trimmed(at, [])), new, layers, w, symbol, time, long_history)
+            columns = trimmed(at + 1, []) + names
+            frame = frame.select(*columns)
         elif len(ranks) >= MANY_RANKS:
             rest = [_column(n, layers, w).alias(layers.name[id(n)]) for n in new if n.op != "cs_rank"]
             frame = frame.select(*trimmed(at, []), *rest)

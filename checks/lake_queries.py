@@ -495,6 +495,11 @@ add("group_pivot_close_all", lambda spark, sf: present(pivot_map(bars(spark, sf,
 add("wide_date_rank", lambda spark, sf: present(evaluate(bars(spark, sf, "week"), {"r": A.cs_rank(field("volume")), "m": A.cs_mean(field("close")), "s": A.cs_scale(field("close"))}, keep=[], sizes=(1, 10**9), wide_date=20), K2, (), ["r", "m", "s"]),
     f"""{WK}, r AS (SELECT vt_symbol, datetime, rank() OVER (PARTITION BY datetime ORDER BY volume) + (count(*) OVER (PARTITION BY datetime, volume) - 1) / 2.0 AS r, avg(close) OVER (PARTITION BY datetime) AS m,
   close / sum(abs(close)) OVER (PARTITION BY datetime) AS s FROM bars) """ + present_sql("r", K2, (), ["r", "m", "s"]))
+LONG = {"ema": I.ema(10), "atr": I.atr(14), "adx": I.adx(14), **I.macd(12, 26, 9), "rsi": I.rsi(14), "obv": I.obv(), "ewm": A.ewm_mean(field("close"), 0.1), "high": A.run_max(field("high")),
+        "held": A.fill_forward(A.where(field("volume") > 25.0, field("close"), None)), "rank": A.cs_rank(I.ema(5))}
+CTES_L, LAST_L = factor_sql("bars", LONG, K2)
+add("long_history_running", lambda spark, sf: present(evaluate(bars(spark, sf, "week"), LONG, keep=[], sizes=(10**9, 1), long_history=60), K2, (), list(LONG)),
+    f"WITH {bars_sql('week')}, {CTES_L} " + present_sql(LAST_L, K2, (), list(LONG)))
 add("long_history_windows", lambda spark, sf: present(evaluate(bars(spark, sf), {"m": A.ts_mean(A.ts_delta(field("close"), 3), 20), "x": A.ts_argmax(field("volume"), 10)}, keep=[], sizes=(10**9, 1), long_history=100), K2, (), ["m", "x"]),
     f"""WITH {bars_sql()}, d AS (SELECT *, close - lag(close, 3) OVER s AS dd FROM bars WINDOW s AS (PARTITION BY vt_symbol ORDER BY datetime)), r AS (SELECT vt_symbol, datetime, avg(dd) OVER w20 AS m, CASE WHEN count(*) OVER w10 = 10 THEN
   list_position(list(volume) OVER w10, max(volume) OVER w10) END AS x FROM d WINDOW w20 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS 19 PRECEDING), w10 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS 9 PRECEDING)) """ + present_sql("r", K2, (), ["m", "x"]))

@@ -77,6 +77,20 @@ def test_cut_histories_and_wide_dates_give_the_same_result(noisy):
     same(plain, evaluate(noisy, MIX, keep=[], long_history=20, wide_date=2))
 
 
+some_x = A.where(x > y, x, None)
+RUNNING = {"a": A.ema(x, 5), "b": A.wilder(some_x, 4), "c": A.run_sum(some_x), "d": A.run_max(x), "e": A.run_count(some_x), "f": A.first_value(some_x),
+           "g": A.fill_forward(some_x), "h": A.ewm_mean(x, 0.2), "i": A.cs_rank(A.ema(x, 3)), "j": A.ts_mean(A.ema(A.ts_delta(y, 2), 3), 4),
+           "k": A.ts_corr(A.cs_rank(x), A.ema(y, 3), 6), "l": A.last_before(some_x), "m": A.ts_count(some_x, 5), "n": A.ema(A.ema(x, 4), 4), "o": A.run_product(1.0 + x / 1e4)}
+
+
+@pytest.mark.parametrize("limit", [8])
+def test_running_terms_carry_over_the_pieces_of_a_history(noisy, limit):
+    keys = ["vt_symbol", "datetime"]
+    plain, cut = (evaluate(noisy, RUNNING, keep=[], long_history=n).toPandas().sort_values(keys, ignore_index=True) for n in (10**6, limit))
+    assert plain["a"].notna().sum() > 50
+    pd.testing.assert_frame_equal(plain, cut, rtol=1e-9)
+
+
 def test_input_order_does_not_matter(noisy):
     same(evaluate(noisy, MIX, keep=[]), evaluate(noisy.orderBy("x"), MIX, keep=[]))
 
