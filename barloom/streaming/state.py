@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from barloom.operators.folds import fold
+from barloom.functions.algebra import ORDINAL
+from barloom.operators.evaluate import LONG_HISTORY
+from barloom.operators.longhistory import carried
 from barloom.session import materialise
 from barloom.sources.store import list_names, path_exists, remove_path
 
@@ -99,35 +102,54 @@ def upsert_latest(path: str, keys: list[str], time: str, buckets: int = 64):
 BUCKETS = ("long_yd", "long_td", "short_yd", "short_td")
 
 
-def roll_up(fills: DataFrame, order: list[str]) -> DataFrame:
-    """Position buckets after every fill, per symbol.
+def roll_up(fills: DataFrame, order: list[str], long_history: int = LONG_HISTORY, largest: int | None = None) -> DataFrame:
+    """``fills`` with the position buckets after every fill, per symbol.
 
-    Opening adds to today's bucket. Closing takes from the opposite side: the named bucket for
-    ``close_today`` and ``close_yesterday``; plain ``close`` takes yesterday's where the exchange
-    separates the two, else today's with the shortage taken from yesterday's. That carry makes
-    the result depend on the order of fills, hence a fold.
+    Opening adds to today's bucket. Closing takes from the opposite side: the named bucket for ``close_today`` and
+    ``close_yesterday``; plain ``close`` takes yesterday's where the exchange separates the two, else today's with the shortage
+    taken from yesterday's.
+
+    Each fill maps today's bucket x to max(x + a, b), with b = 0 for a closing with shortage and none otherwise; such maps compose to
+    one of the same kind. From an empty bucket that is S + max(0, -S at the closings so far), S being the running sum of a, so
+    that running sums and a running maximum give every state. A symbol with more than ``long_history`` fills (``largest`` is measured
+    if absent) is split into pieces that carry these over.
     """
-    def step(state: dict, values: tuple) -> tuple[dict, tuple]:
-        s = dict(state) if state else dict.fromkeys(BUCKETS, 0.0)
-        direction, offset, exchange, volume = values
-        if offset == "open":
-            s["long_td" if direction == "long" else "short_td"] += volume
-        else:
-            side = "short" if direction == "long" else "long"
-            td, yd = f"{side}_td", f"{side}_yd"
-            if offset == "close_today":
-                s[td] -= volume
-            elif offset == "close_yesterday" or exchange in TODAY_EXCHANGES:
-                s[yd] -= volume
-            else:
-                s[td] -= volume
-                if s[td] < 0:
-                    s[yd] += s[td]
-                    s[td] = 0.0
-        return s, tuple(s[b] for b in BUCKETS)
-
-    return fold(fills, "vt_symbol", order, ["direction", "offset", "exchange", "volume"],
-                {b: "double" for b in BUCKETS}, dict, step)
+    volume, offset, plain = F.col("volume").cast("double"), F.col("offset"), (F.col("offset") == "close") & ~F.col("exchange").isin(*TODAY_EXCHANGES)
+    added = fills
+    for side, other in (("long", "short"), ("short", "long")):
+        opens, closes = (offset == "open") & (F.col("direction") == side), (offset != "open") & (F.col("direction") == other)
+        added = added.withColumns({
+            f"_{side}_a": F.when(opens, volume).when(closes & ((offset == "close_today") | plain), -volume).otherwise(0.0),
+            f"_{side}_t": F.when(opens, volume).when(closes, -volume).otherwise(0.0), f"_{side}_p": closes & plain})
+    sums = [f"_{side}_{x}" for side in ("long", "short") for x in "at"]
+    if largest is None:
+        largest = fills.groupBy("vt_symbol").count().agg(F.max("count")).first()[0] or 0
+    if largest > long_history:
+        added = numbered(added, order)
+        added = carried(added, {f"{c}s": ("run_sum", [F.col(c)]) for c in sums}, "vt_symbol", ORDINAL, max(1, long_history // 2))
+    else:
+        past = Window.partitionBy("vt_symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        added = added.withColumns({f"{c}s": F.sum(c).over(past) for c in sums})
+    short = {f"_{side}_low": F.when(F.col(f"_{side}_p"), -F.col(f"_{side}_as")) for side in ("long", "short")}
+    if largest > long_history:
+        added = carried(added, {c: ("run_max", [x]) for c, x in short.items()}, "vt_symbol", ORDINAL, max(1, long_history // 2))
+    else:
+        added = added.withColumns(short).withColumns({c: F.max(c).over(past) for c in short})
+    out = {}
+    for side in ("long", "short"):
+        out[f"{side}_td"] = F.col(f"_{side}_as") + F.greatest(F.lit(0.0), F.col(f"_{side}_low"))
+        out[f"{side}_yd"] = F.col(f"_{side}_ts") - out[f"{side}_td"]
+    return added.select(*fills.columns, *[out[b].alias(b) for b in BUCKETS])
+
+
+def numbered(rows: DataFrame, order: list[str], symbol: str = "vt_symbol") -> DataFrame:
+    """The rows numbered within their symbol in the given order, whose first column is a time: counts of days before, and the place in the day."""
+    rows = rows.withColumn("_day", F.col(order[0]).cast("date"))
+    counts = rows.groupBy(symbol, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(symbol).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(symbol, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(symbol, "_day").orderBy(*order))
+    return rows.join(before, [symbol, "_day"]).withColumn(ORDINAL, (place + F.col("_before")).cast("long")).drop("_day", "_before")
 
 
 def frozen_volume(active: DataFrame, positions: DataFrame) -> DataFrame:

@@ -50,5 +50,24 @@ k AS (SELECT vt_symbol, i, close AS y FROM r WHERE i = 10
       ON r.vt_symbol = k.vt_symbol AND r.i = k.i + 1),
 f AS (SELECT r.vt_symbol, r.datetime, CASE WHEN r.i > 10 THEN k.y END AS kama FROM r LEFT JOIN k USING (vt_symbol, i))
 """ + present_sql("f", KEYS, (), ["kama"]))
-# the parabolic stop is checked against a plain loop in tests/test_folds.py
-add("ind_sar", lambda spark, sf: present(sar(bars(spark, sf, "week"), 0.02, 0.2), KEYS, (), ["sar"]))
+# the parabolic stop as a recursion over the rows of each instrument
+SAR_SQL = f"""
+WITH RECURSIVE {bars_sql("week")},
+p AS MATERIALIZED (SELECT vt_symbol, datetime, high AS h, low AS l, row_number() OVER s AS i, lag(high) OVER s AS h1, lag(low) OVER s AS l1
+      FROM bars WINDOW s AS (PARTITION BY vt_symbol ORDER BY datetime)),
+q AS MATERIALIZED (SELECT *, CASE WHEN i = 2 THEN h ELSE h1 END AS bh, CASE WHEN i = 2 THEN l ELSE l1 END AS bl FROM p),
+start AS (SELECT vt_symbol, NOT (l1 - l > 0 AND h - h1 < l1 - l) AS up, h, l, h1, l1 FROM p WHERE i = 2),
+k AS (SELECT vt_symbol, 1 AS i, up, CASE WHEN up THEN h ELSE l END AS extreme, CASE WHEN up THEN l1 ELSE h1 END AS stop, 0.02::DOUBLE AS speed, NULL::DOUBLE AS shown FROM start
+      UNION ALL
+      SELECT vt_symbol, i, CASE WHEN flip THEN NOT up ELSE up END, far, CASE
+          WHEN flip AND up THEN greatest(shown + pace * (far - shown), bh, h) WHEN flip THEN least(shown + pace * (far - shown), bl, l)
+          WHEN up THEN least(shown + pace * (far - shown), bl, l) ELSE greatest(shown + pace * (far - shown), bh, h) END, pace, shown
+      FROM (SELECT *, CASE WHEN flip AND up THEN greatest(extreme, bh, h) WHEN flip THEN least(extreme, bl, l) ELSE stop END AS shown,
+                CASE WHEN flip THEN 0.02 WHEN further THEN least(speed + 0.02, 0.2) ELSE speed END AS pace,
+                CASE WHEN flip AND up OR further AND NOT up THEN l WHEN flip OR further THEN h ELSE extreme END AS far
+            FROM (SELECT k.vt_symbol, q.i, up, extreme, stop, speed, h, l, bh, bl, CASE WHEN up THEN l <= stop ELSE h >= stop END AS flip,
+                      CASE WHEN up THEN l > stop AND h > extreme ELSE h < stop AND l < extreme END AS further
+                  FROM k JOIN q ON q.vt_symbol = k.vt_symbol AND q.i = k.i + 1))),
+f AS (SELECT p.vt_symbol, p.datetime, k.shown AS sar FROM p LEFT JOIN k ON k.vt_symbol = p.vt_symbol AND k.i = p.i AND p.i > 1)
+"""
+add("ind_sar", lambda spark, sf: present(sar(bars(spark, sf, "week"), 0.02, 0.2), KEYS, (), ["sar"]), SAR_SQL + present_sql("f", KEYS, (), ["sar"]))

@@ -420,8 +420,21 @@ def active(spark, sf):
 
 
 add("active_orders", lambda spark, sf: present(active(spark, sf), ["order_id", "vt_symbol", "status"], ["seq"]), ACT_SQL + " " + present_sql("ao", ["order_id", "vt_symbol", "status"], ["seq"]))
-# the roll-up is a sequential fold; it is checked against a plain loop in tests/test_folds.py
-add("position_roll_up", lambda spark, sf: present(X.roll_up(order_events(spark, sf), ["datetime", "seq"]), ["vt_symbol"], ["seq"], list(X.BUCKETS)))
+# the roll-up as a recursion over the fills of each symbol
+ROLL_SQL = f"""WITH RECURSIVE {OE_SQL}, p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vt_symbol ORDER BY datetime, seq) AS i FROM oe),
+  k AS (SELECT vt_symbol, 0 AS i, 0.0::DOUBLE AS long_yd, 0.0::DOUBLE AS long_td, 0.0::DOUBLE AS short_yd, 0.0::DOUBLE AS short_td FROM (SELECT DISTINCT vt_symbol FROM oe)
+    UNION ALL SELECT vt_symbol, i,
+      long_yd + CASE WHEN shut = 'short' THEN 0 WHEN own THEN -volume WHEN offset_ = 'close' THEN least(long_td - volume, 0) ELSE 0 END,
+      CASE WHEN direction = 'long' AND offset_ = 'open' THEN long_td + volume WHEN shut = 'short' OR own THEN long_td WHEN offset_ = 'close_today' THEN long_td - volume WHEN offset_ = 'close' THEN greatest(long_td - volume, 0) ELSE long_td END,
+      short_yd + CASE WHEN shut = 'long' THEN 0 WHEN own THEN -volume WHEN offset_ = 'close' THEN least(short_td - volume, 0) ELSE 0 END,
+      CASE WHEN direction = 'short' AND offset_ = 'open' THEN short_td + volume WHEN shut = 'long' OR own THEN short_td WHEN offset_ = 'close_today' THEN short_td - volume WHEN offset_ = 'close' THEN greatest(short_td - volume, 0) ELSE short_td END
+    FROM (SELECT k.vt_symbol, p.i, long_yd, long_td, short_yd, short_td, p.direction, p."offset" AS offset_, p.volume, CASE WHEN p.direction = 'long' THEN 'short' ELSE 'long' END AS shut,
+        p."offset" = 'close_yesterday' OR (p."offset" = 'close' AND p.exchange IN ('SHFE', 'INE')) AS own FROM k JOIN p ON p.vt_symbol = k.vt_symbol AND p.i = k.i + 1)),
+  r AS (SELECT p.vt_symbol, p.seq, long_yd, long_td, short_yd, short_td FROM p JOIN k USING (vt_symbol, i)) """
+ROLL_SQL = ROLL_SQL.replace("WHEN shut = 'short'", "WHEN shut = 'short' OR offset_ = 'open'").replace("WHEN shut = 'long'", "WHEN shut = 'long' OR offset_ = 'open'")
+for tag, limit in (("", X.LONG_HISTORY), ("_split", 40)):
+    add(f"position_roll_up{tag}", lambda spark, sf, n=limit: present(X.roll_up(order_events(spark, sf), ["datetime", "seq"], long_history=n), ["vt_symbol"], ["seq"], list(X.BUCKETS)),
+        ROLL_SQL + present_sql("r", ["vt_symbol"], ["seq"], list(X.BUCKETS)))
 
 
 def static_positions(spark, sf):
@@ -587,7 +600,7 @@ def coefficients(spark, sf):
 
 
 # without penalty the fit must solve the normal equations
-MD_SQL = f"""{WK}, f AS (SELECT datetime, avg(close) OVER w5 / close - 1 AS f1, least(greatest(close / lag(close) OVER s - 1, -1), 1) AS f2, CASE WHEN count(*) OVER w10 = 10 THEN (len(list_filter(list(volume) OVER w10, lambda v: v < volume)) + len(list_filter(list(volume) OVER w10, lambda v: v <= volume)) + 1) / 20.0::DOUBLE END AS f3,
+MD_SQL = f"""{WK}, f AS (SELECT vt_symbol, datetime, avg(close) OVER w5 / close - 1 AS f1, least(greatest(close / lag(close) OVER s - 1, -1), 1) AS f2, CASE WHEN count(*) OVER w10 = 10 THEN (len(list_filter(list(volume) OVER w10, lambda v: v < volume)) + len(list_filter(list(volume) OVER w10, lambda v: v <= volume)) + 1) / 20.0::DOUBLE END AS f3,
   least(greatest(lead(close) OVER s / close - 1, -2), 2) AS y FROM bars WINDOW s AS (PARTITION BY vt_symbol ORDER BY datetime), w5 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS 4 PRECEDING), w10 AS (PARTITION BY vt_symbol ORDER BY datetime ROWS 9 PRECEDING)),
   m AS (SELECT sum(f1*f1) AS a, sum(f1*f2) AS b, sum(f1*f3) AS c, sum(f2*f2) AS d, sum(f2*f3) AS e, sum(f3*f3) AS g, sum(f1*y) AS p, sum(f2*y) AS q, sum(f3*y) AS r FROM f
   WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND y IS NOT NULL AND datetime BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'), dt AS (SELECT *, a*(d*g-e*e) - b*(b*g-c*e) + c*(b*e-c*d) AS det FROM m)"""
@@ -600,5 +613,55 @@ def predictions(spark, sf, model):
     return m.predict(ds, "test")
 
 
-add("model_lasso_predict", lambda spark, sf: present(predictions(spark, sf, LassoModel(alpha=0.001)), K2, (), ["signal"]))
+# with a penalty: coordinate descent over the sums of products, as many sweeps as the slowest factor needs
+SOFT = "sign({0}) * greatest(abs({0}) - {1}, 0)"
+
+
+def lasso_sql(alpha):
+    def sweep(j, others):
+        return SOFT.format(f"(c{j} - {' - '.join(others)})", alpha) + f" / g{j}{j}"
+
+    return f"""{MD_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, n AS (SELECT count(*) AS n FROM f WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND y IS NOT NULL
+    AND datetime BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'),
+  g AS (SELECT a / n AS g11, b / n AS g12, c / n AS g13, d / n AS g22, e / n AS g23, g / n AS g33, p / n AS c1, q / n AS c2, r / n AS c3 FROM m, n),
+  it AS (SELECT 0 AS k, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+    UNION ALL SELECT k + 1, w1, w2, {sweep(3, ["g13 * w1", "g23 * w2"])}
+      FROM (SELECT *, {sweep(2, ["g12 * w1", "g23 * b3"])} AS w2 FROM (SELECT *, {sweep(1, ["g12 * b2", "g13 * b3"])} AS w1 FROM it, g WHERE k < 3000))),
+  w AS (SELECT b1, b2, b3 FROM it WHERE k = 3000)"""
+
+
+for tag, alpha in (("", 0.001), ("_strong", 0.02)):
+    add(f"model_lasso_predict{tag}", lambda spark, sf, a=alpha: present(predictions(spark, sf, LassoModel(alpha=a)), K2, (), ["signal"]),
+        lasso_sql(alpha) + f""", r AS (SELECT vt_symbol, datetime, b1 * f1 + b2 * f2 + b3 * f3 AS signal FROM f, w WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL
+  AND datetime BETWEEN DATE '2000-01-01' AND DATE '2001-12-31') """ + present_sql("r", K2, (), ["signal"]))
 add("model_trees_predict", lambda spark, sf: present(predictions(spark, sf, BoostedTreesModel(max_iter=5, max_depth=3)), K2, (), ["signal"]))
+
+
+# trees of one split over features of few values, whose split places are the middles between values
+def stump_importance(spark, sf, rounds=5):
+    ds = Dataset(materialise(bars(spark, sf, "week"), "bars"), SEG)
+    ds.add_feature("f1", A.floor(field("volume") / 6.0))
+    ds.add_feature("f2", A.floor(field("close") / 150.0))
+    ds.set_label(A.clip(A.ts_delay(field("close"), -1) / field("close") - 1, -2.0, 2.0))
+    ds.prepare()
+    ds.process()
+    model = BoostedTreesModel(max_iter=rounds, max_depth=1, step=0.5, stop_early=False)
+    model.fit(ds)
+    return model.importance(spark)
+
+
+def stump_sql(rounds=5):
+    parts = [f"""{WK}, t0 AS (SELECT f1, f2, y, y AS target, 0.0::DOUBLE AS fitted FROM (SELECT datetime, floor(volume / 6.0) AS f1, floor(close / 150.0) AS f2,
+  least(greatest(lead(close) OVER (PARTITION BY vt_symbol ORDER BY datetime) / close - 1, -2), 2) AS y FROM bars) WHERE y IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL AND datetime BETWEEN DATE '1995-01-01' AND DATE '1999-12-31')"""]
+    for k in range(rounds):
+        # squared error taken away by a split: sums of both sides against the sum of all
+        parts.append(f"""s{k} AS (SELECT feature, x, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s
+    FROM (SELECT 'f1' AS feature, f1 AS x, count(*) AS n, sum(target) AS s FROM t{k} GROUP BY ALL UNION ALL SELECT 'f2', f2, count(*), sum(target) FROM t{k} GROUP BY ALL) WINDOW o AS (PARTITION BY feature ORDER BY x)),
+  b{k} AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM s{k} WHERE nl < n ORDER BY gain DESC LIMIT 1),
+  t{k + 1} AS (SELECT f1, f2, y, 2 * (y - now) AS target, now AS fitted FROM (SELECT t.*, fitted + {1.0 if k == 0 else 0.5} * CASE WHEN CASE WHEN feature = 'f1' THEN f1 ELSE f2 END <= x THEN sl / nl ELSE (s - sl) / (n - nl) END AS now
+    FROM t{k} t, b{k}))""")
+    chosen = " UNION ALL ".join(f"SELECT feature, gain FROM b{k}" for k in range(rounds))
+    return ", ".join(parts) + f", r AS (SELECT feature, count(*) AS splits, sum(gain) AS gain FROM ({chosen}) GROUP BY feature) " + present_sql("r", ["feature"], ["splits"], ["gain"])
+
+
+add("model_split_importance", lambda spark, sf: present(stump_importance(spark, sf), ["feature"], ["splits"], ["gain"]), stump_sql())

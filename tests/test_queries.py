@@ -24,7 +24,7 @@ def con():
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(registry.QUERIES) - set(registry.SQL) <= {"ind_sar", "position_roll_up", "model_lasso_predict", "model_trees_predict"}
+    assert set(registry.QUERIES) - set(registry.SQL) <= {"model_trees_predict"}
 
 
 def test_flagship(spark):
