@@ -25,6 +25,14 @@ class ReturnModel:
     def estimator(self):
         raise NotImplementedError
 
+    def spec(self) -> dict:
+        """Settings and what was learnt but for ``model``, as JSON can hold it."""
+        raise NotImplementedError
+
+    @classmethod
+    def restored(cls, spec: dict) -> ReturnModel:
+        raise NotImplementedError
+
     def training_rows(self, dataset: Dataset) -> DataFrame:
         """Rows of train and valid; a key in both segments counts once, as a train row."""
         parts = [dataset.fetch("learn", s).withColumn("is_valid", F.lit(s == "valid")) for s in ("train", "valid")]
@@ -95,6 +103,15 @@ class LassoModel(ReturnModel):
         self.alpha, self.max_iter = alpha, max_iter
         self.weights: np.ndarray | None = None
 
+    def spec(self) -> dict:
+        return {"alpha": self.alpha, "max_iter": self.max_iter, "names": self.names, "weights": None if self.weights is None else self.weights.tolist()}
+
+    @classmethod
+    def restored(cls, spec: dict) -> LassoModel:
+        model = cls(spec["alpha"], spec["max_iter"])
+        model.names, model.weights = spec["names"], None if spec["weights"] is None else np.array(spec["weights"])
+        return model
+
     def fit(self, dataset: Dataset) -> None:
         self.names = [*dataset.features, *dataset.results]
         n, sums = gram_matrix(self.training_rows(dataset), [*self.names, "label"])
@@ -129,6 +146,15 @@ class BoostedTreesModel(ReturnModel):
         valid = dict(validationIndicatorCol="is_valid") if self.stop_early else {}
         return GBTRegressor(featuresCol="features", labelCol="label", **valid, **self.params)
 
+    def spec(self) -> dict:
+        return {"params": self.params, "stop_early": self.stop_early, "names": self.names}
+
+    @classmethod
+    def restored(cls, spec: dict) -> BoostedTreesModel:
+        model = cls(stop_early=spec["stop_early"])
+        model.params, model.names = spec["params"], spec["names"]
+        return model
+
     def nodes(self) -> list[tuple[int, int, str | None, float | None, float, int]]:
         """All nodes of the trees: (tree, node, feature, threshold, gain, rows); leaves have no feature. As many as the model has."""
         out: list[tuple] = []
@@ -154,3 +180,7 @@ class BoostedTreesModel(ReturnModel):
         """Features by gain importance."""
         pairs = zip(self.names, (float(v) for v in self.model.featureImportances.toArray()))
         return sorted(pairs, key=lambda p: (-p[1], p[0]))
+
+
+#: Kinds of models that can be stored.
+MODELS: dict[str, type[ReturnModel]] = {"LassoModel": LassoModel, "BoostedTreesModel": BoostedTreesModel}

@@ -5,12 +5,18 @@ Tables are partitioned by interval and year, so range and interval filters prune
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.operators.dataset import query_by_time
-from barloom.session import materialise
+from barloom.operators.dataset import Dataset, query_by_time
+from barloom.operators.models import MODELS, ReturnModel
+from barloom.session import materialise, work_dir
 
 # fixed values: intervals with a store of their own
 INTERVALS = ("d", "1m")
@@ -44,8 +50,20 @@ def to_store_zone(ts: Column, source: str, store: str = "UTC") -> Column:
 
 
 def keep_newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return df.withColumn("_r", rank).where("_r = 1").drop("_r")
+    """One row a key, the newest; of equally new ones the one with the largest other columns, so that reruns agree."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct(order, *rest)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written aside while a table that it is read from is replaced; the copy goes afterwards."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(df.sparkSession, path)
 
 
 class BarStore:
@@ -77,8 +95,9 @@ class BarStore:
             old = self.spark.read.parquet(path).join(F.broadcast(years), ["interval", "year"], "left_semi")
             merged = old.unionByName(new, allowMissingColumns=True)
         merged = keep_newest(merged, ["interval", "vt_symbol", "datetime"], "ingest_ts")
-        # stored aside first: the partitions being replaced are also being read
-        self._replace(materialise(merged, "bars"), path, ["interval", "year"])
+        # the partitions being replaced are also being read
+        with staged(merged, "bars") as rows:
+            self._replace(rows, path, ["interval", "year"])
 
     def _replace(self, df: DataFrame, path: str, parts: list[str]) -> None:
         (df.repartition(*parts, F.pmod(F.xxhash64("vt_symbol"), F.lit(16))).sortWithinPartitions("vt_symbol", "datetime")
@@ -100,10 +119,10 @@ class BarStore:
         if gone:
             years = mine.select("year").distinct()
             kept = self.bars(interval).join(F.broadcast(years), "year", "left_semi").where(F.col("vt_symbol") != vt_symbol)
-            kept = materialise(kept, "bars")
-            alone = years.join(kept.select("year").distinct(), "year", "left_anti").collect()
-            if len(kept.take(1)):
-                self._replace(kept, self._table("bars"), ["interval", "year"])
+            with staged(kept, "bars") as kept:
+                alone = years.join(kept.select("year").distinct(), "year", "left_anti").collect()
+                if len(kept.take(1)):
+                    self._replace(kept, self._table("bars"), ["interval", "year"])
             # a year that held only this symbol has no rows to write, its folder is removed
             for row in alone:
                 remove_path(self.spark, f"{self._table('bars')}/interval={interval}/year={row['year']}")
@@ -119,6 +138,21 @@ class BarStore:
         df = df.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         return df.where(F.col("datetime").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
+    def delete_ticks(self, vt_symbol: str) -> int:
+        """Remove one symbol's ticks; returns how many there were. Only days that hold any are rewritten."""
+        path = self._table("ticks")
+        ticks = self.spark.read.parquet(path)
+        mine = ticks.where(F.col("vt_symbol") == vt_symbol)
+        gone = mine.count()
+        if gone:
+            days = mine.select("day").distinct()
+            with staged(ticks.join(days, "day", "left_semi").where(F.col("vt_symbol") != vt_symbol), "ticks") as kept:
+                alone = days.join(kept.select("day").distinct(), "day", "left_anti").collect()
+                kept.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+            for row in alone:
+                remove_path(self.spark, f"{path}/day={row['day']}")
+        return gone
+
     # --- signals, components, settings, artifacts -----------------------------------------
 
     def save_signal(self, name: str, signal: DataFrame) -> None:
@@ -158,7 +192,7 @@ class BarStore:
 
     def load_frames(self, kind: str, name: str) -> dict[str, DataFrame]:
         base = self._table(f"{kind}/{name}")
-        return {p: self.spark.read.parquet(f"{base}/{p}") for p in list_names(self.spark, base)}
+        return {p: self.spark.read.parquet(f"{base}/{p}") for p in list_names(self.spark, base) if not p.startswith("_")}
 
     def list_frames(self, kind: str) -> list[str]:
         return list_names(self.spark, self._table(kind))
@@ -166,8 +200,57 @@ class BarStore:
     def remove_frames(self, kind: str, name: str) -> bool:
         return remove_path(self.spark, self._table(f"{kind}/{name}"))
 
-    def save_model(self, name: str, model) -> None:
-        model.write().overwrite().save(self._table(f"models/{name}"))
+    def save_model(self, name: str, model: ReturnModel) -> None:
+        """A fitted model: its kind, settings and feature names as JSON, trees in Spark ML's own format."""
+        base = self._table(f"models/{name}")
+        remove_path(self.spark, base)
+        spec = {"kind": type(model).__name__, **model.spec()}
+        if model.model is not None:
+            model.model.write().overwrite().save(f"{base}/model")
+        self.spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.text(f"{base}/spec")
+
+    def load_model(self, name: str) -> ReturnModel:
+        base = self._table(f"models/{name}")
+        if not path_exists(self.spark, f"{base}/spec"):
+            raise KeyError(f"no model {name}")
+        spec = json.loads(self.spark.read.text(f"{base}/spec").first()["value"])
+        model = MODELS[spec.pop("kind")].restored(spec)
+        if path_exists(self.spark, f"{base}/model"):
+            model.model = GBTRegressionModel.load(f"{base}/model")
+        return model
+
+    def list_models(self) -> list[str]:
+        return list_names(self.spark, self._table("models"))
+
+    def remove_model(self, name: str) -> bool:
+        return remove_path(self.spark, self._table(f"models/{name}"))
+
+    def save_dataset(self, name: str, dataset: Dataset) -> None:
+        """The stages of a prepared dataset as frames, its segments and column names as JSON."""
+        base = self._table(f"datasets/{name}")
+        remove_path(self.spark, base)
+        self.save_frames("datasets", name, dataset.stages)
+        spec = {"segments": dataset.segments, "features": [*dataset.features, *dataset.results], "has_label": dataset.label is not None}
+        self.spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.text(f"{base}/_spec")
+
+    def load_dataset(self, name: str) -> SavedDataset:
+        base = self._table(f"datasets/{name}")
+        if not path_exists(self.spark, f"{base}/_spec"):
+            raise KeyError(f"no dataset {name}")
+        spec = json.loads(self.spark.read.text(f"{base}/_spec").first()["value"])
+        stages = {k: v for k, v in self.load_frames("datasets", name).items()}
+        return SavedDataset(stages, {k: tuple(v) for k, v in spec["segments"].items()}, spec["features"])
+
+
+class SavedDataset:
+    """What a model needs of a dataset: stages, segments and the names of its features."""
+
+    def __init__(self, stages: dict[str, DataFrame], segments: dict[str, tuple[str, str]], names: list[str]) -> None:
+        self.stages, self.segments = stages, segments
+        self.features: dict[str, None] = dict.fromkeys(names)
+        self.results: dict[str, DataFrame] = {}
+
+    fetch = Dataset.fetch
 
 
 def load_panel(bars: DataFrame, symbols: DataFrame | None, start: str, end: str, extended_days: int = 0) -> DataFrame:

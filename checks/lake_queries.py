@@ -141,6 +141,18 @@ def tick_roundtrip(spark, sf):
 add("store_ticks", lambda spark, sf: present(tick_roundtrip(spark, sf), K2, (), ["last_price"]),
     "SELECT user_id || '.EVT' AS vt_symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS datetime, " + present_sql(
         "(SELECT *, value AS last_price FROM events WHERE user_id = 8 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20 12:00:00')", (), (), ["last_price"]).removeprefix("SELECT "))
+
+
+def deleted_ticks(spark, sf):
+    s = BarStore(spark, fresh(spark, "store"))
+    s.save_ticks(ticks(spark, sf))
+    n = s.delete_ticks("8.EVT")
+    return spark.read.parquet(s._table("ticks")).groupBy("vt_symbol").agg(F.count(F.lit(1)).alias("left"), F.sum("last_price").alias("total")).withColumn("gone", F.lit(n))
+
+
+add("store_delete_ticks", lambda spark, sf: present(deleted_ticks(spark, sf), ["vt_symbol"], ["left", "gone"], ["total"]),
+    """WITH r AS (SELECT user_id || '.EVT' AS vt_symbol, count(*) AS "left", sum(value) AS total, (SELECT count(*) FROM events WHERE user_id = 8 AND value > 0) AS gone FROM events WHERE user_id <> 8 AND value > 0 GROUP BY 1) """
+    + present_sql("r", ["vt_symbol"], ['"left"', "gone"], ["total"]).replace('"left"::BIGINT AS "left"', '"left"::BIGINT AS "left"'))
 add("store_time_zone", lambda spark, sf: table(spark, sf, "events").select("event_id", F.date_format(to_store_zone(F.col("ts"), "Asia/Shanghai", "UTC"), "yyyy-MM-dd HH:mm:ss").alias("ts")),
     "SELECT event_id, strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
 
@@ -637,6 +649,23 @@ for tag, alpha in (("", 0.001), ("_strong", 0.02)):
 add("model_trees_predict", lambda spark, sf: present(predictions(spark, sf, BoostedTreesModel(max_iter=5, max_depth=3)), K2, (), ["signal"]))
 
 
+# a stored dataset and a stored model give the predictions of the ones that were stored
+def stored_predictions(spark, sf):
+    s = BarStore(spark, fresh(spark, "store"))
+    ds, m = fitted(spark, sf, LassoModel(alpha=0.001))
+    s.save_dataset("weekly", ds)
+    s.save_model("plain", m)
+    s.save_model("other", LassoModel())
+    if s.list_models() != ["other", "plain"] or not s.remove_model("other"):
+        raise ValueError("models are not listed or removed")
+    return s.load_model("plain").predict(s.load_dataset("weekly"), "test").withColumn("names", F.lit(",".join(s.list_models())))
+
+
+add("store_models", lambda spark, sf: present(stored_predictions(spark, sf), [*K2, "names"], (), ["signal"]),
+    lasso_sql(0.001) + """, r AS (SELECT vt_symbol, datetime, 'plain' AS names, b1 * f1 + b2 * f2 + b3 * f3 AS signal FROM f, w WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL
+  AND datetime BETWEEN DATE '2000-01-01' AND DATE '2001-12-31') """ + present_sql("r", [*K2, "names"], (), ["signal"]))
+
+
 # trees of one split over features of few values, whose split places are the middles between values
 def stump_importance(spark, sf, rounds=5):
     ds = Dataset(materialise(bars(spark, sf, "week"), "bars"), SEG)
