@@ -142,6 +142,45 @@ def manifest(frames: dict[str, DataFrame], date: str = "datetime", symbol: str =
     return reduce(DataFrame.unionByName, (describe(n, df) for n, df in frames.items()))
 
 
+def file_statistics(spark: SparkSession, path: str, previous: DataFrame | None = None, date: str = "datetime", symbol: str = "vt_symbol") -> tuple[DataFrame, int]:
+    """Per file of a dataset: file, bytes, changed_at, rows, columns, date_min, date_max, symbols (list), content_hash; and how many files were read.
+
+    Files that ``previous`` knows with the same size and time are not read again; files that are gone leave the result. Row hashes are
+    summed, so that those of a dataset are the sum of its files'.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    listed = listed.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed_at"))
+    same = ["file", "bytes", "changed_at"]
+    known = None if previous is None else previous.join(listed, same, "left_semi")
+    new = listed if known is None else listed.join(known, same, "left_anti")
+    files = [r["file"] for r in new.select("file").collect()]  # names of changed files
+    if not files:
+        return known, 0
+    rows = spark.read.option("basePath", path).parquet(*files)
+    cols = rows.columns
+    row_hash = F.xxhash64(*(F.col(c) for c in sorted(cols))).cast("decimal(38,0)")
+    # a file is one group, its symbols are counted once over the whole dataset
+    each = rows.select("*", F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(
+        F.count(F.lit(1)).alias("rows"), (F.min(date) if date in cols else F.first(F.lit(None))).cast("date").alias("date_min"),
+        (F.max(date) if date in cols else F.first(F.lit(None))).cast("date").alias("date_max"),
+        (F.collect_set(F.col(symbol).cast("string")) if symbol in cols else F.first(F.array().cast("array<string>"))).alias("symbols"),
+        F.sum(row_hash).cast("string").alias("content_hash"))
+    plain = F.regexp_replace(F.col("file"), "^file:/+", "/")
+    read = new.join(each, plain == F.regexp_replace("_file", "^file:/+", "/")).select(*same, "rows", F.lit(len(cols)).alias("columns"), "date_min", "date_max", "symbols", "content_hash")
+    return (read if known is None else known.unionByName(read)), len(files)
+
+
+def file_manifest(statistics: dict[str, DataFrame]) -> DataFrame:
+    """Manifest rows with bytes and files, from the statistics of the files of each dataset."""
+    def describe(name: str, files: DataFrame) -> DataFrame:
+        sums = files.agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.min("date_min").alias("date_min"), F.max("date_max").alias("date_max"),
+                         F.sum(F.col("content_hash").cast("decimal(38,0)")).cast("string").alias("content_hash"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+        symbols = files.select(F.explode("symbols").alias("s")).agg(F.count_distinct("s").alias("symbols"))
+        return sums.crossJoin(symbols).select(F.lit(name).alias("dataset"), "rows", "columns", "date_min", "date_max", "symbols", "content_hash", "bytes", "files")  # one row each
+
+    return reduce(DataFrame.unionByName, (describe(n, df) for n, df in statistics.items()))
+
+
 def coherent_date(manifest_rows: DataFrame, core: list[str]) -> DataFrame:
     return manifest_rows.where(F.col("dataset").isin(core)).agg(F.min("date_max").alias("coherent_date"))
 

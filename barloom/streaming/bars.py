@@ -14,7 +14,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -217,6 +217,35 @@ def record_stream(ticks: DataFrame, contracts: DataFrame, path: str, checkpoint:
     return write_stream(kept, path, checkpoint, ["day"])
 
 
+class Recorder:
+    """``foreachBatch`` function that records the chosen contracts of a stream under ``path``.
+
+    The contract table (vt_symbol, exchange, product) is read anew with every batch, so contracts listed later are recorded from
+    then on. A batch is written to a folder of its epoch, which a repeated epoch overwrites: a restart writes nothing twice. Ticks and
+    bars are two recorders over one source.
+    """
+
+    def __init__(self, path: str, contracts: str, exchanges: list[str] | None = None, products: list[str] | None = None) -> None:
+        self.path, self.contracts, self.exchanges, self.products = path.rstrip("/"), contracts, exchanges, products
+
+    def chosen(self, spark: SparkSession) -> DataFrame:
+        found = spark.read.parquet(self.contracts)
+        for column, wanted in (("exchange", self.exchanges), ("product", self.products)):
+            found = found if wanted is None else found.where(F.col(column).isin(wanted))
+        return found.select("vt_symbol").distinct()
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        kept = batch.join(self.chosen(batch.sparkSession), "vt_symbol", "left_semi").withColumn("day", F.col("datetime").cast("date"))
+        kept.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/epoch={epoch:012d}")
+
+    def start(self, rows: DataFrame, checkpoint: str):
+        return rows.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def read(self, spark: SparkSession, schema) -> DataFrame:
+        """All that was recorded."""
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def with_indicators(bars: DataFrame, size: int, windows: tuple[int, ...]) -> DataFrame:
     """Streaming moving averages from a state list of the last ``size`` closes, ready when full."""
     names = [f"sma_{n}" for n in windows]

@@ -208,6 +208,29 @@ MF_SQL = f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, {MEMBERS_SQL}, mf AS (
   WHERE year(datetime) < 2001 UNION ALL SELECT 'weekly', count(*), 9, min(datetime), max(datetime), count(DISTINCT vt_symbol) FROM wk UNION ALL SELECT 'members', count(*), 2, NULL, NULL, count(DISTINCT vt_symbol) FROM members)"""
 add("lake_manifest_versions", lambda spark, sf: present(published(spark, sf), ["dataset", "version", "date_min", "date_max"], ["rows", "columns", "symbols"]),
     MF_SQL + ", r AS (SELECT *, 'v2' AS version FROM mf) " + present_sql("r", ["dataset", "version", "date_min", "date_max"], ["rows", "columns", "symbols"]))
+
+
+def incremental_manifest(spark, sf):
+    """Weekly bars written up to 1998, described, then continued and described again: only new files are read."""
+    path, b = fresh(spark, "lake"), bars(spark, sf, "week")
+    b.where("year(datetime) < 1998").coalesce(3).write.parquet(path)
+    first, read = L.file_statistics(spark, path)
+    first = materialise(first, "statistics")
+    b.where("year(datetime) >= 1998").coalesce(2).write.mode("append").parquet(path)
+    second, again = L.file_statistics(spark, path, first)
+    second = materialise(second, "statistics")
+    _, none = L.file_statistics(spark, path, second)
+    whole = L.manifest({"weekly": b}).select("dataset", F.col("content_hash").alias("whole_hash"))
+    out = L.file_manifest({"weekly": second}).join(whole, "dataset")
+    on_disk = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length").alias("on_disk"))
+    new_files = F.lit(int(again < second.count() and read + again == second.count() and none == 0))
+    return out.crossJoin(on_disk).select("dataset", "rows", "columns", "symbols", "date_min", "date_max", (F.col("bytes") == F.col("on_disk")).cast("int").alias("bytes_right"),
+                                         (F.col("content_hash") == F.col("whole_hash")).cast("int").alias("hash_right"), new_files.alias("only_new_read"))
+
+
+add("lake_file_manifest", lambda spark, sf: present(incremental_manifest(spark, sf), ["dataset", "date_min", "date_max"], ["rows", "columns", "symbols", "bytes_right", "hash_right", "only_new_read"]),
+    f"{WK}, r AS (SELECT 'weekly' AS dataset, min(datetime) AS date_min, max(datetime) AS date_max, count(*) AS rows, 9 AS columns, count(DISTINCT vt_symbol) AS symbols, 1 AS bytes_right, 1 AS hash_right, 1 AS only_new_read FROM bars) "
+    + present_sql("r", ["dataset", "date_min", "date_max"], ["rows", "columns", "symbols", "bytes_right", "hash_right", "only_new_read"]))
 add("lake_coherent_date", lambda spark, sf: present(L.coherent_date(published(spark, sf), ["daily", "weekly"]), ["coherent_date"]),
     MF_SQL + " SELECT min(date_max)::VARCHAR AS coherent_date FROM mf WHERE dataset IN ('daily', 'weekly')")
 add("lake_current_version", lambda spark, sf: present(L.with_version(members(spark, sf), published(spark, sf)), ["vt_symbol", "data_version", "data_date"]),
@@ -385,6 +408,29 @@ add("stream_record", lambda spark, sf: present(recorded(spark, sf), ["vt_symbol"
     "WITH r AS (SELECT user_id || '.EVT' AS vt_symbol, ts::DATE AS day, count(*) AS n, sum(value) AS total FROM events WHERE user_id::VARCHAR LIKE '1%' GROUP BY 1, 2) " + present_sql("r", ["vt_symbol", "day"], ["n"], ["total"]))
 
 
+def recorder(spark, sf):
+    """Ticks and hour bars of the futures of one exchange, recorded from one source; the last epoch of the ticks is written twice."""
+    base = fresh(spark, "stream")
+    user = F.col("user_id")
+    table(spark, sf, "events").select(F.concat(user.cast("string"), F.lit(".EVT")).alias("vt_symbol"), F.when(user % 3 == 0, "SHFE").otherwise("CFFEX").alias("exchange"),
+                                      F.when(user % 2 == 0, "futures").otherwise("option").alias("product")).distinct().write.parquet(f"{base}/contracts")
+    stream = cut_ticks(spark, sf)
+    sinks = {kind: Z.Recorder(f"{base}/{kind}", f"{base}/contracts", ["CFFEX"], ["futures"]) for kind in ("ticks", "bars")}
+    hours = Z.streaming_bars(stream, 3600)
+    for kind, rows in (("ticks", stream), ("bars", hours)):
+        sinks[kind].start(rows, f"{base}/{kind}-checkpoint").awaitTermination()
+    last = spark.read.schema(stream.schema).parquet(f"{base}/ticks/epoch={2:012d}")
+    sinks["ticks"](materialise(last, "ticks"), 2)  # as after a crash before the checkpoint
+    n = sinks["ticks"].read(spark, stream.schema).groupBy("vt_symbol").agg(F.count(F.lit(1)).alias("ticks"), F.sum("last_price").alias("total"))
+    b = sinks["bars"].read(spark, hours.schema).groupBy("vt_symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
+    return n.join(b, "vt_symbol")
+
+
+add("stream_recorder", lambda spark, sf: present(recorder(spark, sf), ["vt_symbol"], ["ticks", "bars"], ["total", "volume"]),
+    tick_sql(3600) + f""", n AS (SELECT vt_symbol, count(*) AS ticks, sum(last_price) AS total FROM tk GROUP BY 1), b AS (SELECT vt_symbol, count(*) AS bars, sum(volume) AS volume FROM {CLOSED} GROUP BY 1),
+  r AS (SELECT * FROM n JOIN b USING (vt_symbol) WHERE split_part(vt_symbol, '.', 1)::INT % 3 <> 0 AND split_part(vt_symbol, '.', 1)::INT % 2 = 0) """ + present_sql("r", ["vt_symbol"], ["ticks", "bars"], ["total", "volume"]))
+
+
 def upserted(spark, sf):
     base = fresh(spark, "stream")
     e = cut_ticks(spark, sf).select("vt_symbol", "datetime", "last_price")
