@@ -2,7 +2,7 @@
 
 The relation of level k holds the occurrences of grams of k words, sorted by place; places count words, with a free place
 between two pieces, so that neighbours in place are neighbours in a piece. Relations are persisted in blocks of a language:
-a row holds a few megabytes of text as one gram code a place, and the block's own grams with their counts.
+a row holds three megabytes of text as one gram code a place, and the block's own grams with their counts.
 
 Level by level, as long as phrases may grow: the block counts are grouped over the corpus; grams that are frequent get an id; a
 semi-join leaves only their occurrences; the relation left is merge-joined with itself on place and place + 1, which gives the
@@ -24,7 +24,7 @@ from barloom.llm.common import plain
 from barloom.session import materialise
 
 #: Bytes of text of a language that end a block, and of all languages that a task holds before it writes them all.
-BLOCK, HELD = 8 << 20, 16 << 20
+BLOCK, HELD = 3 << 20, 9 << 20
 #: Parts in which a language is ranked before its best are ranked together.
 PARTS = 32
 
@@ -35,10 +35,12 @@ _FOLD = bytes(10 if c in _PIECE_ENDS else 32 if c in _BLANKS else c + 32 if 65 <
 def places_of(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
     """Word codes by place, counted from 1 (0: a free place), and the words of the codes."""
     raw = "\n".join(texts).encode().translate(_FOLD).replace(b"\n", b" \n ")
-    tokens = pc.split_pattern(pa.array([raw.decode()], pa.large_string()), " ").flatten().dictionary_encode()
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int64)), pa.py_buffer(raw)])
+    tokens = pc.split_pattern(whole, " ").flatten().dictionary_encode()
+    del raw, whole
     names = tokens.dictionary
     word = ~pc.is_in(names, pa.array(["", "\n"], names.type)).to_numpy(zero_copy_only=False)
-    code = np.where(word, np.cumsum(word), 0)
+    code = np.where(word, np.cumsum(word), 0).astype(np.int32)
     at = tokens.indices.to_numpy()
     empty = pc.index(names, pa.scalar("", names.type)).as_py()
     return code[at[at != empty] if empty >= 0 else at], names.filter(pa.array(word))
