@@ -11,6 +11,7 @@ from barloom.functions import indicators as I
 from barloom.functions import scalars as S
 from barloom.functions.algebra import field
 from barloom.operators import fundamentals, joins
+from barloom.operators import records as R
 from barloom.operators.dataset import Dataset, pivot_map, query_by_time, to_date
 from barloom.operators.evaluate import evaluate
 from barloom.operators.models import BoostedTreesModel, LassoModel
@@ -549,6 +550,40 @@ add("scalar_order_records", lambda spark, sf: table(spark, sf, "orders").select(
     S.order_status(F.element_at(F.array(*map(F.lit, ("55", "54", "rejected!", "x"))), (F.col("o_orderkey") % 4 + 1).cast("int")), F.col("o_custkey") % 5, F.col("o_custkey") % 3).alias("status")),
     """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'sell' ELSE 'buy' END AS side, CASE WHEN o_orderkey % 4 = 2 THEN 'rejected' WHEN o_orderkey % 4 = 1 THEN 'cancelled' WHEN o_custkey % 5 > 0 AND o_custkey % 3 >= o_custkey % 5 THEN 'executed'
   WHEN o_custkey % 3 > 0 THEN 'partial' WHEN o_orderkey % 4 = 0 THEN 'executed' ELSE 'pending' END AS status FROM orders""")
+
+
+def broker_records(spark, sf):
+    """Line items as records of a broker: fields of several names, numbers as text, some unreadable or missing."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    text = lambda c: F.col(c).cast("string")
+    return table(spark, sf, "lineitem").select(
+        k.alias("seq"), line.alias("line"), F.when(k % 3 == 0, F.concat(F.lit("t"), k.cast("string"), F.lit("-"), line.cast("string"))).when(k % 3 == 1, "").alias("trade_id"),
+        F.when(line % 2 == 0, F.concat(F.lit("i"), line.cast("string"))).alias("id"), F.concat(F.lit("o"), k.cast("string")).alias("order_id"),
+        F.when(F.col("l_suppkey") % 7 == 0, "").otherwise(F.concat(text("l_suppkey"), F.lit(".sup"))).alias("symbol"), F.when(k % 2 == 0, F.lower("l_returnflag")).alias("side"),
+        F.when(k % 4 < 2, "SELL").otherwise("BUY").alias("action"), F.when(line == 3, "bad").otherwise(text("l_quantity")).alias("quantity"),
+        F.when(line == 5, "n/a").when(k % 5 == 0, F.round(F.col("l_quantity") / 2, 1).cast("string")).alias("available_quantity"), F.when(line == 4, "").otherwise(text("l_extendedprice")).alias("price"),
+        F.when(k % 2 == 1, text("l_extendedprice")).alias("avg_price"), text("l_discount").alias("cost_price"), text("l_tax").alias("position_profit"), (line * 2).cast("string").alias("traded_quantity"),
+        F.element_at(F.array(*map(F.lit, ("55", "54", "rejected!", "x"))), (k % 4 + 1).cast("int")).alias("status"), F.when(line > 2, "10:00").alias("time"), F.lit("09:30").alias("timestamp"))
+
+
+BR_SQL = """WITH br AS (SELECT l_orderkey AS seq, l_linenumber AS line, CASE WHEN l_orderkey % 3 = 0 THEN 't' || l_orderkey || '-' || l_linenumber WHEN l_orderkey % 3 = 1 THEN '' END AS trade_id, CASE WHEN l_linenumber % 2 = 0 THEN 'i' || l_linenumber END AS id,
+  'o' || l_orderkey AS order_id, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE l_suppkey || '.SUP' END AS symbol, CASE WHEN coalesce(CASE WHEN l_orderkey % 2 = 0 THEN lower(l_returnflag) END, CASE WHEN l_orderkey % 4 < 2 THEN 'SELL' ELSE 'BUY' END) = 'SELL' THEN 'sell' ELSE 'buy' END AS side,
+  CASE WHEN l_linenumber = 3 THEN 0 ELSE trunc(l_quantity) END::BIGINT AS quantity, CASE WHEN l_linenumber <> 5 AND l_orderkey % 5 = 0 THEN trunc(round(l_quantity / 2, 1)) WHEN l_linenumber = 3 THEN 0 ELSE trunc(l_quantity) END::BIGINT AS available,
+  CASE WHEN l_linenumber = 4 THEN 0 ELSE l_extendedprice END AS price, CASE WHEN l_orderkey % 2 = 1 THEN l_extendedprice ELSE l_discount END AS avg_price, l_tax AS profit, l_linenumber * 2 AS traded, ['55', '54', 'rejected!', 'x'][l_orderkey % 4 + 1] AS st,
+  CASE WHEN l_linenumber > 2 THEN '10:00' END AS t FROM lineitem) """
+PN = ["quantity", "available_quantity", "frozen_quantity"], ["avg_price", "cost_price", "market_value", "profit", "position_profit"]
+add("record_positions", lambda spark, sf: present(R.positions(broker_records(spark, sf).withColumn("at", F.struct("seq", "line")), "at"), ["symbol"], *PN),
+    BR_SQL + """, r AS (SELECT symbol, quantity, available AS available_quantity, greatest(quantity - available, 0) AS frozen_quantity, avg_price, avg_price AS cost_price, 0 AS market_value, profit, profit AS position_profit
+  FROM br WHERE symbol <> '' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC, line DESC, quantity DESC, available DESC, avg_price DESC, profit DESC) = 1) """ + present_sql("r", ["symbol"], *PN))
+add("record_orders", lambda spark, sf: present(R.orders(broker_records(spark, sf)).groupBy("id", "sysid", "symbol", "side", "status", "time", "message").agg(*[F.sum(c).alias(c) for c in ("quantity", "traded_quantity", "price")]),
+                                                ["id", "sysid", "symbol", "side", "status", "time", "message"], ["quantity", "traded_quantity"], ["price"]),
+    BR_SQL + """, o AS (SELECT coalesce(id, order_id) AS id, '' AS sysid, symbol, side, CASE WHEN st = 'rejected!' THEN 'rejected' WHEN st = '54' THEN 'cancelled' WHEN quantity > 0 AND traded >= quantity THEN 'executed' WHEN traded > 0 THEN 'partial' END AS status,
+  coalesce(t, '') AS time, '' AS message, quantity, traded, price FROM br), r AS (SELECT id, sysid, symbol, side, status, time, message, sum(quantity) AS quantity, sum(traded) AS traded_quantity, sum(price) AS price FROM o GROUP BY ALL) """
+    + present_sql("r", ["id", "sysid", "symbol", "side", "status", "time", "message"], ["quantity", "traded_quantity"], ["price"]))
+add("record_trades", lambda spark, sf: present(R.trades(broker_records(spark, sf)).groupBy("id", "trade_id", "order_id", "symbol", "side", "time").agg(*[F.sum(c).alias(c) for c in ("quantity", "price", "amount")]),
+                                                ["id", "trade_id", "order_id", "symbol", "side", "time"], ["quantity"], ["price", "amount"]),
+    BR_SQL + """, r AS (SELECT coalesce(nullif(trade_id, ''), id, order_id) AS id, coalesce(nullif(trade_id, ''), id, order_id) AS trade_id, order_id, symbol, side, coalesce(t, '09:30') AS time, sum(quantity) AS quantity, sum(price) AS price, 0 AS amount
+  FROM br GROUP BY ALL) """ + present_sql("r", ["id", "trade_id", "order_id", "symbol", "side", "time"], ["quantity"], ["price", "amount"]))
 add("scalar_missing_values", lambda spark, sf: present(table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, float("nan")).when(F.col("s_suppkey") % 3 == 1, F.lit(None)).otherwise(F.col("s_acctbal")).alias("x")).select(
     "s_suppkey", F.coalesce(F.nanvl("x", F.lit(-1.0)), F.lit(-2.0)).alias("filled"), F.col("x").isNull().alias("is_null"), F.coalesce(F.isnan("x"), F.lit(False)).alias("is_nan"),
     S.row_sum(F.nanvl("x", F.lit(None)), F.lit(1.0)).alias("total")), (), ["s_suppkey", "is_null", "is_nan"], ["filled", "total"]),
