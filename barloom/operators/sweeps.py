@@ -11,10 +11,17 @@ from pyspark.sql.window import Window
 from barloom.operators.portfolio import breakout_signals, long_only_returns, nav_metrics, strategy_metrics
 
 
-def grid(spark: SparkSession, axes: dict[str, float | tuple[float, float, float]]) -> DataFrame:
-    """Cartesian product of fixed values and (start, end, step) ranges, with a ``param_id``."""
+def grid(spark: SparkSession, axes: dict[str, float | tuple[float, float, float] | DataFrame]) -> DataFrame:
+    """Cartesian product of fixed values, (start, end, step) ranges and the distinct values of one-column tables, with a ``param_id``.
+
+    The product is the grid itself: its size is the caller's choice.
+    """
     out = spark.range(1)
     for name, spec in axes.items():
+        if isinstance(spec, DataFrame):
+            found = spec.select(F.col(spec.columns[0]).cast("double").alias(name)).where(F.col(name).isNotNull()).distinct()
+            out = out.join(found)
+            continue
         if isinstance(spec, tuple):
             start, end, step = spec
             if step <= 0 or end < start:

@@ -22,7 +22,7 @@ from barloom.streaming import bars as Z
 from barloom.streaming import ordered as O
 from barloom.streaming import state as X
 from checks.panels import MEMBERS_SQL, bars, bars_sql, members, present, present_sql, table
-from checks.registry import add
+from checks.registry import QUERIES, SQL, add
 from checks.sqltext import factor_sql
 from checks.study_queries import SEG
 
@@ -593,11 +593,9 @@ add("scalar_row_reduce", lambda spark, sf: present(bars(spark, sf, "week").selec
     f"{WK}, r AS (SELECT *, least(open, vwap) AS low2, greatest(open, vwap) AS high2, round(turnover / 7, 2) AS rounded FROM bars) " + present_sql("r", K2, (), ["low2", "high2", "rounded"]))
 
 # --- aggregations, joins, user functions -----------------------------------------------------
-add("group_pivot_close", lambda spark, sf: present(bars(spark, sf, "week").where("vt_symbol IN ('1.SUP', '2.SUP', '3.SUP')").groupBy("datetime").pivot("vt_symbol", ["1.SUP", "2.SUP", "3.SUP"]).agg(F.first("close")).toDF("datetime", "s1", "s2", "s3"), ["datetime"], (), ["s1", "s2", "s3"]),
-    f"{WK}, r AS (SELECT datetime, max(CASE WHEN vt_symbol = '1.SUP' THEN close END) AS s1, max(CASE WHEN vt_symbol = '2.SUP' THEN close END) AS s2, max(CASE WHEN vt_symbol = '3.SUP' THEN close END) AS s3 FROM bars WHERE vt_symbol IN ('1.SUP', '2.SUP', '3.SUP') GROUP BY 1) "
-    + present_sql("r", ["datetime"], (), ["s1", "s2", "s3"]))
 add("group_pivot_close_all", lambda spark, sf: present(pivot_map(bars(spark, sf, "week"), "datetime", "vt_symbol", "close").select("datetime", F.size("close").cast("long").alias("n"), F.explode("close").alias("vt_symbol", "close")), K2, ["n"], ["close"]),
     f"{WK}, r AS (SELECT datetime, vt_symbol, count(*) OVER (PARTITION BY datetime) AS n, close FROM bars) " + present_sql("r", K2, ["n"], ["close"]))
+add("group_pivot_close", QUERIES["group_pivot_close_all"], SQL["group_pivot_close_all"])  # the earlier name, over all symbols as well
 add("wide_date_rank", lambda spark, sf: present(evaluate(bars(spark, sf, "week"), {"r": A.cs_rank(field("volume")), "m": A.cs_mean(field("close")), "s": A.cs_scale(field("close"))}, keep=[], sizes=(1, 10**9), wide_date=20), K2, (), ["r", "m", "s"]),
     f"""{WK}, r AS (SELECT vt_symbol, datetime, rank() OVER (PARTITION BY datetime ORDER BY volume) + (count(*) OVER (PARTITION BY datetime, volume) - 1) / 2.0 AS r, avg(close) OVER (PARTITION BY datetime) AS m,
   close / sum(abs(close)) OVER (PARTITION BY datetime) AS s FROM bars) """ + present_sql("r", K2, (), ["r", "m", "s"]))

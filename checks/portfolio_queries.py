@@ -11,7 +11,7 @@ from barloom.operators import sweeps as W
 from barloom.operators.evaluate import evaluate
 from barloom.operators.evaluation import period_ends
 from checks.panels import bars, bars_sql, present, present_sql, table, universe
-from checks.registry import add
+from checks.registry import QUERIES, SQL, add
 from checks.screening_queries import ADJ_SQL, adjusted
 from checks.study_queries import ENDS_SQL
 
@@ -312,10 +312,6 @@ add("weak_market", lambda spark, sf: present(B.weak_market(bars(spark, sf).selec
     + present_sql("r", ["datetime"], ["weak", "window_short"], ["close", "ma"]))
 
 
-def selection(spark, sf):
-    return bars(spark, sf, "week").where("vt_symbol = '7.SUP' AND volume > 40").select(F.col("datetime").alias("rebalance_date"))
-
-
 def calendar(spark, sf):
     return bars(spark, sf).select(F.col("datetime").alias("trade_date"))
 
@@ -333,12 +329,8 @@ add("no_signal_month_ends_all", lambda spark, sf: present(B.no_signal_month_ends
 add("rebalance_periods_all", lambda spark, sf: present(B.rebalance_periods(busy_weeks(spark, sf), calendar(spark, sf), "2001-06-30"), ["signal_date", "exec_date"]),
     f"""{BUSY_SQL}, r AS (SELECT s.datetime AS signal_date, (SELECT min(datetime) FROM bars WHERE datetime > s.datetime) AS exec_date FROM s)
   SELECT signal_date::VARCHAR AS signal_date, exec_date::VARCHAR AS exec_date FROM r WHERE exec_date <= DATE '2001-06-30'""")
-add("no_signal_month_ends", lambda spark, sf: present(B.no_signal_month_ends(selection(spark, sf), calendar(spark, sf), "2001-06-30"), ["month_end"]),
-    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, e AS (SELECT strftime(datetime, '%Y-%m') AS m, max(datetime) AS month_end FROM bars GROUP BY 1), s AS (SELECT datetime FROM wk WHERE vt_symbol = '7.SUP' AND volume > 40)
-  SELECT month_end::VARCHAR AS month_end FROM e WHERE m < (SELECT max(m) FROM e) AND m NOT IN (SELECT strftime(datetime, '%Y-%m') FROM s) AND month_end >= (SELECT min(datetime) FROM s) AND month_end <= DATE '2001-06-30'""")
-add("rebalance_periods", lambda spark, sf: present(B.rebalance_periods(selection(spark, sf), calendar(spark, sf), "2001-06-30"), ["signal_date", "exec_date"]),
-    f"""WITH {bars_sql()}, {bars_sql('week', 'wk')}, r AS (SELECT s.datetime AS signal_date, (SELECT min(datetime) FROM bars WHERE datetime > s.datetime) AS exec_date FROM (SELECT DISTINCT datetime FROM wk WHERE vt_symbol = '7.SUP' AND volume > 40) s)
-  SELECT signal_date::VARCHAR AS signal_date, exec_date::VARCHAR AS exec_date FROM r WHERE exec_date <= DATE '2001-06-30'""")
+for name in ("no_signal_month_ends", "rebalance_periods"):  # the earlier names, over whole tables as well
+    add(name, QUERIES[f"{name}_all"], SQL[f"{name}_all"])
 add("stop_loss", lambda spark, sf: present(B.stop_loss_triggers(valued(spark, sf), 0.2), ["vt_symbol", "entry_date", "trigger_date"], (), ["drawdown"]),
     f"""{VAL_SQL}, h AS (SELECT *, last_close_adj / (buy_open_adj * 1.001) - 1 AS drawdown FROM val), r AS (SELECT vt_symbol, entry_date, min(datetime) AS trigger_date, arg_min(drawdown, datetime) AS drawdown FROM h WHERE drawdown < -0.2 - 1e-9 GROUP BY 1, 2) """
     + present_sql("r", ["vt_symbol", "entry_date", "trigger_date"], (), ["drawdown"]))
@@ -353,9 +345,11 @@ add("dropped_components", lambda spark, sf: present(B.dropped_components(bars(sp
 
 # --- sweeps ------------------------------------------------------------------------------
 AXES = {"entry": (4.0, 8.0, 2.0), "exit": (2.0, 3.0, 1.0)}
-add("param_grid", lambda spark, sf: present(W.grid(spark, {**AXES, "fee": 0.5}).crossJoin(bars(spark, sf, "week").agg(F.count(F.lit(1)).alias("rows"))), (), ["param_id", "rows"], ["entry", "exit", "fee"]),
-    f"""{WK}, g AS (SELECT e.entry, x."exit", 0.5 AS fee FROM (VALUES (4.0), (6.0), (8.0)) e(entry), (VALUES (2.0), (3.0)) x("exit")), r AS (SELECT *, row_number() OVER (ORDER BY entry, "exit") AS param_id, (SELECT count(*) FROM bars) AS rows FROM g)
-  SELECT param_id::BIGINT AS param_id, rows::BIGINT AS rows, entry::DOUBLE AS entry, "exit"::DOUBLE AS "exit", fee::DOUBLE AS fee FROM r""")
+# settings found in tables: entry windows are the line numbers of orders, exits the regions, fees a range
+add("param_grid", lambda spark, sf: present(W.grid(spark, {"entry": table(spark, sf, "lineitem").select("l_linenumber"), "exit": table(spark, sf, "nation").select("n_regionkey"), "fee": (0.5, 1.5, 0.5)}),
+                                            (), ["param_id"], ["entry", "exit", "fee"]),
+    """WITH g AS (SELECT * FROM (SELECT DISTINCT l_linenumber AS entry FROM lineitem), (SELECT DISTINCT n_regionkey AS "exit" FROM nation), (VALUES (0.5), (1.0), (1.5)) f(fee)), r AS (SELECT *, row_number() OVER (ORDER BY entry, "exit", fee) AS param_id FROM g)
+  SELECT param_id::BIGINT AS param_id, entry::DOUBLE AS entry, "exit"::DOUBLE AS "exit", fee::DOUBLE AS fee FROM r""")
 SWEEP_SQL = f"""{WK}, g AS (SELECT * FROM (VALUES (4, 2), (4, 3), (6, 2), (6, 3), (8, 2), (8, 3)) t(entry, ex)), ch AS (
   {' UNION ALL '.join(f'''SELECT {p} AS param_id, {e} AS entry, {x} AS "exit", vt_symbol, datetime, close, CASE WHEN count(high) OVER e{p} = {e} THEN max(high) OVER e{p} END AS ec, CASE WHEN count(low) OVER x{p} = {x} THEN min(low) OVER x{p} END AS xc FROM bars
   WINDOW e{p} AS ({S} ROWS BETWEEN {e} PRECEDING AND 1 PRECEDING), x{p} AS ({S} ROWS BETWEEN {x} PRECEDING AND 1 PRECEDING)''' for p, (e, x) in enumerate([(4, 2), (4, 3), (6, 2), (6, 3), (8, 2), (8, 3)], 1))}),
