@@ -37,24 +37,26 @@ def exact_rank(df: DataFrame, value: str, by: list[str], rows_per_range: int, wi
         (F.col("below") + F.sum("n").over(inside) - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))
 
 
-def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str) -> DataFrame:
+def keys_repeat(df: DataFrame, symbol: str, time: str) -> bool:
+    """Whether two rows have the same key; nothing but the keys is read."""
+    return not df.groupBy(symbol, time).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str, repeated: bool = True) -> DataFrame:
     """Add average-tie ranks of many columns with one sort instead of one sort per column.
 
     The inputs are laid out as rows (date, column number, value), ranked together and folded
-    back; the other columns travel with the first of these rows, so nothing is joined. Rows that
-    repeat a key are told apart by a hash of all their columns; equal rows have equal ranks and are repeated.
+    back; the other columns travel with the first of these rows, so nothing is joined. If keys may be ``repeated``, their
+    rows are told apart by a hash of all their columns; equal rows have equal ranks and are repeated.
     """
+    if not repeated:
+        return _ranks_of_keys(df, inputs, symbol, time)
     row = F.struct(*df.columns)
     values = F.array(*(F.struct(steady(x).cast("double").alias("_x"), F.when(F.lit(k == 0), row).alias("_row"))
                        for k, x in enumerate(inputs.values())))
     cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"), F.xxhash64(*df.columns).alias("_h"), F.posexplode(values).alias("_k", "_v"))
     cells = cells.select("_t", "_s", "_h", "_k", "_v._x", "_v._row")
-    spec = Window.partitionBy("_t", "_k").orderBy("_x")
-    same = spec.rangeBetween(Window.currentRow, Window.currentRow)
-    missing = F.count(F.when(F.col("_x").isNull(), 1)).over(
-        spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rank = F.rank().over(spec) - missing + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
-    cells = cells.withColumn("_r", F.when(F.col("_x").isNotNull(), rank))
+    cells = cells.withColumn("_r", _rank())
     folded = cells.groupBy("_t", "_s", "_h").agg(
         F.first("_row", ignorenulls=True).alias("_row"),
         F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
@@ -64,6 +66,25 @@ def many_ranks(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str)
         F.get("_ranks", F.lit(k) * F.col("_n"))["_r"].alias(name) for k, name in enumerate(inputs)))
 
 
+def _rank() -> Column:
+    """Average-tie rank of ``_x`` within a date and column; null where it is missing."""
+    spec = Window.partitionBy("_t", "_k").orderBy("_x")
+    same = spec.rangeBetween(Window.currentRow, Window.currentRow)
+    missing = F.count(F.when(F.col("_x").isNull(), 1)).over(spec.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.rank().over(spec) - missing + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0)
+    return F.when(F.col("_x").isNotNull(), rank)
+
+
+def _ranks_of_keys(df: DataFrame, inputs: dict[str, Column], symbol: str, time: str) -> DataFrame:
+    """``many_ranks`` where a key has one row: cells carry the key alone, and each column's rank is the one cell of its number."""
+    row = F.struct(*df.columns)
+    values = F.array(*(F.struct(steady(x).cast("double").alias("_x"), F.when(F.lit(k == 0), row).alias("_row")) for k, x in enumerate(inputs.values())))
+    cells = df.select(F.col(time).alias("_t"), F.col(symbol).alias("_s"), F.posexplode(values).alias("_k", "_v")).select("_t", "_s", "_k", "_v._x", "_v._row")
+    cells = cells.withColumn("_r", _rank())
+    folded = cells.groupBy("_t", "_s").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(F.struct("_k", "_r"))).alias("_ranks"))
+    return folded.select("_row.*", *(F.get("_ranks", F.lit(k))["_r"].alias(name) for k, name in enumerate(inputs)))
+
+
 def wide_terms(
     df: DataFrame, todo: dict[str, tuple[str, list]], symbol: str, time: str, rows_per_range: int
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from barloom.functions import algebra as A
 
 from barloom.functions.algebra import DATE, OPERATORS, ORDINAL, ROW, SYMBOL, Factor, Windows
-from barloom.operators.crosssection import many_ranks, wide_terms
+from barloom.operators.crosssection import keys_repeat, many_ranks, wide_terms
 from barloom.operators.longhistory import RUNNING, carried
 
 # Above this many rows of one instrument its history is cut into overlapping pieces, above this
@@ -256,6 +256,8 @@ def evaluate(
                   for r in layers.roots.values() if r.op != "lit"}
     for at in range(len(keys) - 1, -1, -1):
         needed[at] = needed[at + 1].union(*(layers.reads(n) for n in layers.groups[keys[at]]))
+    ranked = any(sum(n.op == "cs_rank" for n in layers.groups[k]) >= MANY_RANKS for k in keys) and not wide
+    repeated = ranked and keys_repeat(df, symbol, time)
     phase = None
     columns = list(frame.columns)
 
@@ -292,7 +294,7 @@ def evaluate(
             frame = frame.select(*trimmed(at, []), *rest)
             inputs = {layers.name[id(n)]: _column(n.args[0], layers, w, False) for n in ranks}
             columns = trimmed(at + 1, []) + names
-            frame = many_ranks(frame, inputs, symbol, time).select(*columns)
+            frame = many_ranks(frame, inputs, symbol, time, repeated).select(*columns)
         else:
             frame = frame.select("*", *(_column(n, layers, w).alias(layers.name[id(n)]) for n in new))
             columns += names
