@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,25 +135,61 @@ class LassoModel(ReturnModel):
         return sorted((p for p in pairs if p[1] != 0), key=lambda p: (-abs(p[1]), p[0]))
 
 
+#: A feature of no more distinct values is split between any two of them, others between equally large shares of all rows.
+VALUES, SHARES = 4096, 256
+
+
+def split_places(rows: DataFrame, names: list[str], most: int = VALUES, parts: int = SHARES) -> dict[str, list[float]]:
+    """Upper ends of ``parts`` equally large shares of each feature with more than ``most`` distinct values, from all rows."""
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])))
+    counts = {r["name"]: r["n"] for r in values.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = [n for n in names if counts.get(n, 0) > most]
+    if not many:
+        return {}
+    shares = [(k + 1) / parts for k in range(parts - 1)]
+    row = rows.agg(*[F.percentile_approx(F.col(n).cast("double"), shares, 100 * parts).alias(n) for n in many]).first()
+    return {n: sorted(set(row[n])) for n in many}
+
+
 class BoostedTreesModel(ReturnModel):
-    """Squared-error boosting, stopped when the valid segment no longer improves (or never, without ``stop_early``)."""
+    """Squared-error boosting, stopped when the valid segment no longer improves (or never, without ``stop_early``).
+
+    Spark looks for split places in a sample of max(maxBins^2, 10,000) rows. Here features have few values (``split_places``
+    replaces others by the number of their share), and maxBins is such that the sample is all rows.
+    """
 
     def __init__(self, max_iter: int = 50, max_depth: int = 5, step: float = 0.1, tol: float = 0.001, seed: int = 42, stop_early: bool = True) -> None:
         super().__init__()
         self.params = dict(maxIter=max_iter, maxDepth=max_depth, stepSize=step, validationTol=tol, seed=seed)
         self.stop_early = stop_early
+        self.places: dict[str, list[float]] = {}
+
+    def assemble(self, df: DataFrame) -> DataFrame:
+        """Features as a vector, those with places as the number of places below the value."""
+        df = df.withColumns({f"_in_{n}": F.col(n).cast("double") for n in self.names})
+        for n, ends in self.places.items():
+            df = Bucketizer(splits=[-math.inf, *(math.nextafter(e, math.inf) for e in ends), math.inf], inputCol=f"_in_{n}", outputCol=f"_at_{n}", handleInvalid="keep").transform(df)
+            df = df.withMetadata(f"_at_{n}", {})  # ordered numbers, not categories
+        return VectorAssembler(inputCols=[f"_at_{n}" if n in self.places else f"_in_{n}" for n in self.names], outputCol="features", handleInvalid="keep").transform(df)
+
+    def fit(self, dataset: Dataset) -> None:
+        self.names = [*dataset.features, *dataset.results]
+        rows = self.training_rows(dataset)
+        self.places = split_places(rows, self.names)
+        bins = max(VALUES, math.isqrt(rows.count()) + 1)
+        self.model = self.estimator().setMaxBins(bins).fit(self.assemble(rows))
 
     def estimator(self) -> GBTRegressor:
         valid = dict(validationIndicatorCol="is_valid") if self.stop_early else {}
         return GBTRegressor(featuresCol="features", labelCol="label", **valid, **self.params)
 
     def spec(self) -> dict:
-        return {"params": self.params, "stop_early": self.stop_early, "names": self.names}
+        return {"params": self.params, "stop_early": self.stop_early, "names": self.names, "places": self.places}
 
     @classmethod
     def restored(cls, spec: dict) -> BoostedTreesModel:
         model = cls(stop_early=spec["stop_early"])
-        model.params, model.names = spec["params"], spec["names"]
+        model.params, model.names, model.places = spec["params"], spec["names"], spec.get("places", {})
         return model
 
     def nodes(self) -> list[tuple[int, int, str | None, float | None, float, int]]:
@@ -167,7 +204,9 @@ class BoostedTreesModel(ReturnModel):
                     out.append((tree, number, None, None, 0.0, rows))
                     continue
                 split = node.split()
-                out.append((tree, number, self.names[split.featureIndex()], float(split.threshold()), float(node.gain()), rows))
+                name, place = self.names[split.featureIndex()], float(split.threshold())
+                place = self.places[name][int(place)] if name in self.places else place
+                out.append((tree, number, name, place, float(node.gain()), rows))
                 stack += [(2 * number, node.leftChild()), (2 * number + 1, node.rightChild())]
         return out
 
