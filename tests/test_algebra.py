@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from barloom.functions.algebra import field
 from barloom.operators.evaluate import Layers, evaluate
 from barloom.plans.factors101 import factors101
 from barloom.plans.factors158 import factors158
+from barloom.session import work_dir
 
 x, y = field("x"), field("y")
 
@@ -180,3 +183,17 @@ def test_user_operator_per_date_on_both_paths(noisy):
     A.register_functions({"cs_top_share": {"kind": A.DATE, "arity": 1, "build": lambda w, x, k: F.max(x).over(w.day) / k, "grouped": lambda x, k: F.max(x) / k}})
     terms = {"u": A.call("cs_top_share", x, 4.0), "v": A.ts_mean(A.call("cs_top_share", A.cs_rank(x), 2.0), 3), "m": A.cs_mean(x)}
     same(evaluate(noisy, terms, keep=[]), evaluate(noisy, terms, keep=[], wide_date=3))
+
+
+def test_long_history_leaves_one_table(spark, frame, column):
+    """Each layer's table goes once the next one is written, and block sums carry over pieces."""
+    df = frame("vt_symbol string, datetime date, x double", [("A", f"20{10 + k // 12:02d}-{k % 12 + 1:02d}-01", float(k % 7)) for k in range(60)])
+    want = column(evaluate(df, {"e": A.ema(A.ema(field("x"), 3), 4)}, keep=[]), "e")
+
+    def tables():
+        return {n for n in os.listdir(work_dir(spark)) if n.startswith("history-")}
+    before = tables()
+    out = evaluate(df, {"e": A.ema(A.ema(field("x"), 3), 4)}, keep=[], sizes=(10**9, 1), long_history=10)
+    assert len(tables() - before) == 1
+    got = column(out, "e")
+    assert [v is None for v in got] == [v is None for v in want] and np.allclose([v for v in got if v is not None], [v for v in want if v is not None])
