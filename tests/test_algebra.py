@@ -185,6 +185,14 @@ def test_user_operator_per_date_on_both_paths(noisy):
     same(evaluate(noisy, terms, keep=[]), evaluate(noisy, terms, keep=[], wide_date=3))
 
 
+def test_correlation_of_values_a_last_bit_apart(frame, column):
+    """A mean that rounds to a value: never beyond what the deviations of the same window allow."""
+    rows = [("A", "2024-01-01", 1.0, 100.0), ("A", "2024-01-02", 2.0, np.nextafter(100.0, 0)), ("B", "2024-01-01", 1.0, 100.0), ("B", "2024-01-02", 2.0, np.nextafter(100.0, 200))]
+    df = frame("vt_symbol string, datetime date, a double, b double", [(s, d, a, float(b)) for s, d, a, b in rows])
+    out = evaluate(df, {"r": A.ts_corr(field("a"), field("b"), 5), "q": A.ts_corr(field("b"), field("a"), 5)}, keep=[])
+    assert all(v is None or abs(v) <= 1.5 for n in ("r", "q") for v in column(out, n))
+
+
 def test_long_history_leaves_one_table(spark, frame, column):
     """Each layer's table goes once the next one is written, and block sums carry over pieces."""
     df = frame("vt_symbol string, datetime date, x double", [("A", f"20{10 + k // 12:02d}-{k % 12 + 1:02d}-01", float(k % 7)) for k in range(60)])
