@@ -111,3 +111,34 @@ def test_toxicity_of_tables(spark, docs, none):
 
 def test_threshold_lies_between_the_classes():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+
+
+def test_thresholds_by_language_count_all_rows(spark):
+    rng = np.random.default_rng(2)
+    score = np.round(rng.random(900), 3)
+    toxic = (rng.random(900) < score).astype(int)
+    lang = np.array(["en", "de", "few"])[np.minimum(rng.integers(0, 40, 900) // 19, 2)]
+    rows = spark.createDataFrame([*zip(lang.tolist(), score.tolist(), toxic.tolist()), (None, 0.5, 1)], "lang string, score double, toxic int")
+    got = toxicity.best_thresholds(rows)
+    assert set(got) == {"en", "de"}
+    for k, value in got.items():
+        assert value == pytest.approx(toxicity.best_threshold(score[lang == k], toxic[lang == k]), abs=1e-12)
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('plain words ', id % 7, if(id % 4 = 0, ' vile', ' kind')) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 AS int) AS toxic")
+    few, all_rows = toxicity.train(docs, labels, sample=10**6), {}
+    for size in (10**6, 150):
+        monkeypatch.setattr(toxicity, "ROWS_OF_TASK", size)
+        all_rows[size] = toxicity.train(docs, labels, sample=20)
+        again = toxicity.train(docs, labels, sample=20)
+        assert (again.embed == all_rows[size].embed).all() and again.thresholds == all_rows[size].thresholds
+        assert toxicity.score(docs, again).join(labels, "doc_id").where("flagged != (toxic = 1)").count() == 0
+    # a word that only one row outside of the sample has moves too
+    rare = docs.selectExpr("doc_id", "if(doc_id = 396, 'zyx', text) AS text", "lang")
+    code = toxicity.features(["zyx"])[0][0, 0]
+    start = toxicity.fit([], np.zeros(0))
+    moved = [toxicity.train(x, labels, sample=20).embed[code] for x in (docs, rare)]
+    assert (moved[0] == start.embed[code]).all() and (moved[1] != start.embed[code]).any()
+    assert few.thresholds.keys() == {"en"}
