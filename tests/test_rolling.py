@@ -71,3 +71,13 @@ def test_costly_windows_of_the_library_are_rolled(spark):
 def test_bars_of_more_than_a_task_keep_their_partitions(spark, monkeypatch):
     monkeypatch.setattr(panels, "LINES_OF_TASK", 2000)
     assert panels.bars(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_stock_features_take_their_sizes_from_the_lines(spark, monkeypatch):
+    from checks import study_queries
+
+    def measure(*_):
+        raise AssertionError("bars were aggregated for their sizes alone")
+
+    monkeypatch.setattr(E, "measure", measure)
+    assert study_queries.stock(spark, "/root/testdata/sf0.001").count() > 0
