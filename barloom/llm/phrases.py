@@ -7,7 +7,7 @@ a row holds three megabytes of text as one gram code a place, and the block's ow
 Level by level, as long as phrases may grow: the block counts are grouped over the corpus; grams that are frequent get an id; a
 semi-join leaves only their occurrences; the relation left is merge-joined with itself on place and place + 1, which gives the
 occurrences of the next length. What is shuffled between levels are distinct grams of blocks and coded blocks, never texts, and
-a gram comes at most once from a block, so no gram is hot.
+a gram comes at most once from a block, so no gram is hot. Blocks are cogrouped with their frequent grams, not joined with lists of them.
 """
 
 from __future__ import annotations
@@ -100,36 +100,38 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return materialise(rows.mapInArrow(blocks, "block long, lang string, n_words long, words array<string>, n array<long>, codes binary"), "occurrences")
 
 
-def longer(known: DataFrame, keep_codes: bool) -> DataFrame:
-    """The persisted relation of the next length from rows (block, codes, frequent: list of (code, id)).
+def longer(relation: DataFrame, kept: DataFrame, keep_codes: bool) -> DataFrame:
+    """The persisted relation of the next length from a relation (block, codes) and the places and ids (at, id) of its frequent grams.
 
     Rows (block, codes, grams, ids): ``grams`` holds for each gram of the block the places in ``ids`` of what it begins and ends
-    with, and its count.
+    with, and its count. A block meets its frequent grams by itself, so that a task holds those of one block, as plain columns.
     """
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                codes = unpacked(batch.column(1)[k].as_py())
-                frequent = batch.column(2)[k].values
-                m = len(frequent) + 1
-                number = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)  # of the frequent ones, in this block
-                number[frequent.field("code").to_numpy(zero_copy_only=False)] = np.arange(1, m)
-                own = number[codes]  # the semi-join
-                # both sides are sorted by place, without gaps: the merge join on place + 1 is a shift
-                at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
-                key = own[at].astype(np.int64) * m + own[at + 1]
-                del codes
-                key, code, n = np.unique(key, return_inverse=True, return_counts=True)
-                dense = np.zeros(len(own) if keep_codes else 0, np.uint32)
-                if keep_codes:
-                    dense[at] = code + 1
-                grams = np.stack([key // m - 1, key % m - 1, n]).astype("<u4")
-                ids = frequent.field("id").to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *(pa.array([x], pa.binary()) for x in (packed(dense), grams.tobytes(), ids.tobytes()))],
-                                                 names=["block", "codes", "grams", "ids"])
-
-    return materialise(known.mapInArrow(join, "block long, codes binary, grams binary, ids binary"), "longer")
+    names = ["block", "codes", "grams", "ids"]
+
+    def join(own_key: tuple[pa.Scalar, ...], block: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not frequent.num_rows:
+            return pa.table([pa.array([], pa.int64()), *(pa.array([], pa.binary()) for _ in names[1:])], names=names)
+        codes = unpacked(block.column("codes")[0].as_py())
+        m = frequent.num_rows + 1
+        number = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)  # of the frequent ones, in this block
+        number[frequent.column("code").to_numpy()] = np.arange(1, m)
+        own = number[codes]  # the semi-join
+        # both sides are sorted by place, without gaps: the merge join on place + 1 is a shift
+        at = np.flatnonzero((own[:-1] > 0) & (own[1:] > 0))
+        key = own[at].astype(np.int64) * m + own[at + 1]
+        del codes
+        key, code, n = np.unique(key, return_inverse=True, return_counts=True)
+        dense = np.zeros(len(own) if keep_codes else 0, np.uint32)
+        if keep_codes:
+            dense[at] = code + 1
+        grams = np.stack([key // m - 1, key % m - 1, n]).astype("<u4")
+        ids = frequent.column("id").to_numpy().astype("<i8")
+        return pa.table([pa.array([own_key[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(dense), grams.tobytes(), ids.tobytes()))], names=names)
+
+    low = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    codes = kept.select(F.shiftright("at", 32).alias("block"), low.alias("code"), "id")
+    met = relation.select("block", "codes").groupBy("block").cogroup(codes.groupBy("block"))
+    return materialise(met.applyInArrow(join, "block long, codes binary, grams binary, ids binary"), "longer")
 
 
 def listed(relation: DataFrame) -> DataFrame:
@@ -159,12 +161,6 @@ def frequent(each: DataFrame, keys: list[str], least: int) -> DataFrame:
     return materialise(counted.select("at", "id", *told), "frequent")
 
 
-def with_frequent(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """(block, codes, frequent) of a relation: the codes of its blocks whose grams are frequent, with their ids."""
-    codes = kept.select(F.shiftright("at", 32).alias("block"), F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("code"), "id").alias("x"))
-    return relation.select("block", "codes").join(codes.groupBy("block").agg(F.collect_list("x").alias("frequent")), "block").select("block", "codes", "frequent")
-
-
 def score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (left * right)), exact for counts below 10^15."""
     wide = "decimal(15,0)"
@@ -192,7 +188,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     told = grams.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     keys, found = ["first", "second"], []
     for k in range(2, longest + 1):
-        relation = longer(with_frequent(relation, kept), keep_codes=k < longest)
+        relation = longer(relation, kept, keep_codes=k < longest)
         each = listed(relation)
         if k < longest:
             kept = frequent(each, keys, least)

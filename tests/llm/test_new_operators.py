@@ -130,6 +130,22 @@ def test_phrases_equal_brute_force(spark, monkeypatch, longest, first):
     assert {tuple(r) for r in got} == phrases_by_brute_force(rows, longest, 3, 50, first) and len(got) == len({tuple(r) for r in got})
 
 
+def test_phrases_meet_blocks_by_themselves(spark, monkeypatch):
+    """No list of a block's frequent grams is built in the JVM, and a call holds one block."""
+    plans, stored = [], phrases.materialise
+
+    def seen(df, name):
+        if name == "longer":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(phrases, "materialise", seen)
+    monkeypatch.setattr(phrases, "BLOCK", 200)
+    data = spark.createDataFrame([("new york city " * 9, "en")] * 20, "text string, lang string")
+    assert {r["phrase"] for r in phrases.collocations(data).collect()} == {"new york city", "york city new", "city new york"}
+    assert len(plans) == 2 and all("FlatMapCoGroupsInArrow" in p and "collect_list" not in p for p in plans)
+
+
 def test_phrases_of_nothing(spark, none):
     assert phrases.collocations(none).count() == 0
     assert phrases.score(F.lit(2), F.lit(2), F.lit(3)) is not None
