@@ -205,3 +205,20 @@ def test_long_history_leaves_one_table(spark, frame, column):
     assert len(tables() - before) == 1
     got = column(out, "e")
     assert [v is None for v in got] == [v is None for v in want] and np.allclose([v for v in got if v is not None], [v for v in want if v is not None])
+
+
+def test_averages_of_short_histories_sort_once(spark, column):
+    """Where an instrument's weights fit one block, its rows are not sorted by block; longer ones keep their blocks."""
+    alpha = 2.0 / 3
+    most = A.one_block(alpha)
+    for rows, sorts in ((most, 1), (most + 1, 3)):
+        df = spark.range(rows).selectExpr("'A' AS vt_symbol", "date_add(date'2020-01-01', int(id)) AS datetime", "if(id % 5 = 3, null, 1e150 * (1 + id % 7)) AS x").repartition(2)
+        out = evaluate(df, {"e": A.smooth(field("x"), alpha, 1, False)}, keep=[])
+        assert out._jdf.queryExecution().sparkPlan().toString().count("Sort [") + out._jdf.queryExecution().executedPlan().toString().count("Sort [") == sorts
+        value, want = None, []
+        for k in range(rows):
+            if k % 5 != 3:
+                now = 1e150 * (1 + k % 7)
+                value = now if value is None else value + alpha * (now - value)
+            want.append(value)
+        assert np.allclose(column(out, "e"), want, rtol=1e-12, atol=0)
