@@ -222,3 +222,9 @@ def test_averages_of_short_histories_sort_once(spark, column):
                 value = now if value is None else value + alpha * (now - value)
             want.append(value)
         assert np.allclose(column(out, "e"), want, rtol=1e-12, atol=0)
+
+
+def test_ts_rank_collects_its_window_once(tiny, column):
+    out = evaluate(tiny, {"r": A.ts_rank(x, 3)}, keep=[])
+    assert out._jdf.queryExecution().sparkPlan().toString().count("collect_list(") == 1
+    assert column(out, "r") == [None, None, 4 / 6, 1.0]
