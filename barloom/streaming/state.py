@@ -124,15 +124,16 @@ def roll_up(fills: DataFrame, order: list[str], long_history: int = LONG_HISTORY
     sums = [f"_{side}_{x}" for side in ("long", "short") for x in "at"]
     if largest is None:
         largest = fills.groupBy("vt_symbol").count().agg(F.max("count")).first()[0] or 0
+    paths: list[str] = []
     if largest > long_history:
         added = numbered(added, order)
-        added = carried(added, {f"{c}s": ("run_sum", [F.col(c)]) for c in sums}, "vt_symbol", ORDINAL, max(1, long_history // 2))
+        added = carried(added, {f"{c}s": ("run_sum", [F.col(c)]) for c in sums}, "vt_symbol", ORDINAL, max(1, long_history // 2), paths)
     else:
         past = Window.partitionBy("vt_symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         added = added.withColumns({f"{c}s": F.sum(c).over(past) for c in sums})
     short = {f"_{side}_low": F.when(F.col(f"_{side}_p"), -F.col(f"_{side}_as")) for side in ("long", "short")}
     if largest > long_history:
-        added = carried(added, {c: ("run_max", [x]) for c, x in short.items()}, "vt_symbol", ORDINAL, max(1, long_history // 2))
+        added = carried(added, {c: ("run_max", [x]) for c, x in short.items()}, "vt_symbol", ORDINAL, max(1, long_history // 2), paths)
     else:
         added = added.withColumns(short).withColumns({c: F.max(c).over(past) for c in short})
     out = {}

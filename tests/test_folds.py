@@ -1,8 +1,11 @@
+import glob
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from barloom.operators.folds import kama, sar
+from barloom.session import work_dir
 from barloom.streaming.state import TODAY_EXCHANGES, roll_up
 
 
@@ -93,3 +96,15 @@ def test_position_roll_up(spark):
                 if q[1] < 0:
                     q[0], q[1] = q[0] + q[1], 0.0
         assert got[i] == (*p["long"], *p["short"])
+
+
+def test_split_position_roll_up(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"S{rng.integers(3)}", (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i // 2)).to_pydatetime(), i, ["long", "short"][rng.integers(2)], ["open", "open", "close", "close_today", "close_yesterday"][rng.integers(5)],
+             ["SHFE", "CFFEX"][rng.integers(2)], float(rng.integers(1, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "vt_symbol string, datetime timestamp, seq long, direction string, offset string, exchange string, volume double")
+    whole = roll_up(df, ["datetime", "seq"]).collect()
+    tables = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/history-*"))
+    split = roll_up(df, ["datetime", "seq"], long_history=16)
+    assert sorted(split.collect()) == sorted(whole)
+    assert len(set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/history-*")) - tables) == 1  # the running sums' table went
