@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import algebra as A
 from barloom.functions import indicators as K
 from barloom.functions.algebra import field
+from barloom.operators import evaluate as E
 from barloom.operators.evaluate import Layers, evaluate
 from barloom.plans.factors101 import factors101
 from barloom.plans.factors158 import factors158
@@ -207,6 +208,22 @@ def test_long_history_leaves_one_table(spark, frame, column):
     assert [v is None for v in got] == [v is None for v in want] and np.allclose([v for v in got if v is not None], [v for v in want if v is not None])
 
 
+def test_long_history_stores_few_columns_and_no_old_exchanges(spark, noisy, monkeypatch):
+    """Row-wise columns are made again instead of stored, and a layer's exchanges leave no files once its table is written."""
+    widths, rows_of = [], E.carried
+    monkeypatch.setattr(E, "carried", lambda rows, *more: (widths.append(len(rows.columns)), rows_of(rows, *more))[1])
+    terms = {"e": A.ema(A.ema(x, 3), 4), "h": A.ewm_mean(x, 0.2)}
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    out = evaluate(noisy, terms, keep=[], sizes=(10**9, 1), long_history=16)
+    assert files() <= before and max(widths) <= 12
+    keys = ["vt_symbol", "datetime"]
+    want = evaluate(noisy, terms, keep=[]).toPandas().sort_values(keys, ignore_index=True)
+    pd.testing.assert_frame_equal(out.toPandas().sort_values(keys, ignore_index=True), want, rtol=1e-9)
+
+
 def test_averages_of_short_histories_sort_once(spark, column):
     """Where an instrument's weights fit one block, its rows are not sorted by block; longer ones keep their blocks."""
     alpha = 2.0 / 3
